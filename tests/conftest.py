@@ -1,0 +1,42 @@
+import os
+import sys
+from pathlib import Path
+
+import pytest
+from pyspark.sql import SparkSession
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+
+DATA = Path(os.environ.get("TABFLOW_TESTDATA", "/root/testdata"))
+
+
+@pytest.fixture(scope="session")
+def spark(tmp_path_factory):
+    session = (
+        SparkSession.builder.master("local[*]")
+        .appName("tabflow-tests")
+        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.ui.enabled", "false")
+        .config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+        .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
+        .getOrCreate()
+    )
+    session.sparkContext.setLogLevel("ERROR")
+    yield session
+    session.stop()
+
+
+@pytest.fixture
+def scores(spark):
+    """Four rows with a null group, a null number and a null text."""
+    return spark.createDataFrame(
+        [("a", 11.0, "x", 1), ("a", 20.0, "y", 2), (None, 30.0, None, None), ("b", None, "w", 4)],
+        "Category string, Score double, s string, n int",
+    )
+
+
+def rows(df):
+    """The rows of ``df`` as a sorted list of tuples."""
+    return sorted((tuple(r) for r in df.collect()), key=lambda r: [(v is not None, v) for v in r])
