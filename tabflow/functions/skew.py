@@ -55,39 +55,40 @@ def hot_groups(df: DataFrame, group: Column, policy: SkewPolicy) -> DataFrame:
     return sizes.withColumn("__unit", unit).where("__rows > __unit")
 
 
-def with_range_bucket(rows: DataFrame, order: list[Column]) -> DataFrame:
-    """Add ``__bucket``: a number that grows with (``__g``, ``order``).
-
-    ``rows`` carries ``__g`` and ``__unit``. Boundaries are the range keys whose
-    hash falls under 1/unit: about one per ``unit`` rows, so buckets come out
-    near that size and there are about ``max_hot`` boundaries at most. A key is
-    a boundary because of its own hash alone, so every evaluation of the plan,
-    also after a lost executor, cuts at the same places. Boundaries only steer
-    the work: all rows get a bucket, and nothing is dropped.
+def with_range_bucket(rows: DataFrame, order: list[Column], policy: SkewPolicy) -> DataFrame:
+    """Add ``__bucket``: a number that grows with ``order``.
+
+    ``rows`` holds hot groups only, with ``__g`` and ``__unit``. Boundaries are
+    the order keys whose hash falls under 1/unit: about one per ``unit`` rows, so
+    a bucket, over all groups, comes out near that size, and there are some
+    ``max_hot`` boundaries at most. A key is a boundary because of its own hash
+    alone, so every evaluation of the plan, also after a lost executor, cuts at
+    the same places. Boundaries only steer the work: all rows get a bucket.
     """
-    keyed = rows.withColumn("__key", F.struct(F.col("__g"), *order))
-    fraction = F.shiftrightunsigned(F.xxhash64("__key"), 11) / F.lit(2.0**53)
+    key = order[0] if len(order) == 1 else F.struct(*order)
+    keyed = rows.withColumn("__key", key)
+    chance = F.shiftrightunsigned(F.xxhash64("__g", "__key"), 11) / F.lit(2.0**53)
     bounds = (
-        keyed.where(fraction * F.col("__unit") < 1)
+        keyed.where(chance * F.col("__unit") < 1)
         .select("__key")
         .distinct()
         .agg(F.sort_array(F.collect_list("__key")))
         .scalar()
     )
-    # Binary search: the number of boundaries below the key.
-    steps = F.array(*[F.lit(2**p) for p in range(17, -1, -1)])
-    bucket = F.aggregate(
-        steps,
-        F.lit(0),
-        lambda at, step: F.when(
-            F.get(F.col("__bounds"), at + step - 1) < F.col("__key"), at + step
-        ).otherwise(at),
-    )
-    return (
-        keyed.withColumn("__bounds", bounds)
-        .withColumn("__bucket", bucket)
-        .drop("__bounds", "__key")
-    )
+    # Binary search for the number of boundaries below the key, one column per
+    # halving. As a chain of projections it stays in generated code, where the
+    # array is a reference.
+    steps = [2**p for p in range((2 * policy.max_hot).bit_length() - 1, -1, -1)]
+    search = [F.lit(0).alias("__at0")]
+    for i, step in enumerate(steps):
+        at = F.col(f"__at{i}")
+        below = F.get(F.col("__bounds"), at + (step - 1)) < F.col("__key")
+        search.append((at + F.when(below, step).otherwise(0)).alias(f"__at{i + 1}"))
+    found = keyed.withColumn("__bounds", bounds).select("*", *search)
+    # The optimizer traces join keys back through projections, which doubles the
+    # expression at each halving; it does not look behind an explode.
+    bucket = F.explode(F.array(f"__at{len(steps)}")).alias("__bucket")
+    return found.select(*rows.columns, bucket)
 
 
 def bucket_starts(bucketed: DataFrame) -> DataFrame:

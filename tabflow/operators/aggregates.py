@@ -196,9 +196,7 @@ def _split_medians(
         .select(F.struct("__k", "__i").alias("__g"), "__v")
     )
     hot = F.broadcast(hot_groups(long, F.col("__g"), skew).drop("__rows"))
-    split = with_range_bucket(long.join(hot, "__g"), [F.col("__v")]).select(
-        "__g", "__v", "__bucket"
-    )
+    split = with_range_bucket(long.join(hot, "__g"), [F.col("__v")], skew).drop("__unit")
     whole = long.join(hot, "__g", "left_anti").withColumn("__bucket", F.lit(-1))
 
     counted = (

@@ -54,7 +54,9 @@ def window(
     grouped = df.withColumn("__g", group_struct(parts))
     hot = F.broadcast(hot_groups(grouped, F.col("__g"), skew).drop("__rows"))
     whole = grouped.join(hot, "__g", "left_anti").withColumn(alias, result.over(plain))
-    split = _split_frames(grouped.join(hot, "__g"), sort, column(col), result, alias, low, high)
+    split = _split_frames(
+        grouped.join(hot, "__g"), sort, column(col), result, alias, low, high, skew
+    )
     output = [*map(column, df.columns), column(alias)]
     return whole.select(*output).union(split.select(*output))
 
@@ -67,6 +69,7 @@ def _split_frames(
     alias: str,
     low: int,
     high: int,
+    skew: SkewPolicy,
 ) -> DataFrame:
     """The frame aggregate for hot partitions, each cut into blocks of rows.
 
@@ -77,7 +80,7 @@ def _split_frames(
     """
     keys = {f"__o{i}": s for i, s in enumerate(sort)} | {"__o": F.xxhash64(value)}
     names = [F.col(k) for k in keys]
-    bucketed = with_range_bucket(rows.withColumns(keys), names)
+    bucketed = with_range_bucket(rows.withColumns(keys), names, skew)
     nth = F.row_number().over(Window.partitionBy("__g", "__bucket").orderBy(*names))
     placed = (
         bucketed.withColumn("__nth", nth)
