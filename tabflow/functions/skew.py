@@ -50,11 +50,20 @@ def hot_groups(df: DataFrame, group: Column, policy: SkewPolicy) -> DataFrame:
     one row per map task.
     """
     sizes = df.groupBy(group.alias("__g")).agg(F.count(F.lit(1)).alias("__rows"))
-    share = sizes.agg(F.ceil(F.sum("__rows") / policy.max_hot)).scalar()
-    unit = F.greatest(F.lit(policy.hot_rows).cast("long"), share)
+    unit = _unit(sizes.agg(F.sum("__rows").alias("n")), policy)
     return sizes.withColumn("__unit", unit).where("__rows > __unit")
 
 
+def whole_table_unit(df: DataFrame, policy: SkewPolicy) -> Column:
+    """``unit`` for a table that is a single group."""
+    return _unit(df.agg(F.count(F.lit(1)).alias("n")), policy)
+
+
+def _unit(total: DataFrame, policy: SkewPolicy) -> Column:
+    share = total.select(F.ceil(F.col("n") / policy.max_hot)).scalar()
+    return F.greatest(F.lit(policy.hot_rows).cast("long"), share)
+
+
 def with_range_bucket(rows: DataFrame, order: list[Column], policy: SkewPolicy) -> DataFrame:
     """Add ``__bucket``: a number that grows with ``order``.
 

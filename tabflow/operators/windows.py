@@ -14,6 +14,7 @@ from ..functions.skew import (
     bucket_starts,
     fits,
     hot_groups,
+    whole_table_unit,
     with_range_bucket,
 )
 
@@ -52,13 +53,17 @@ def window(
         return df.withColumn(alias, result.over(plain))
 
     grouped = df.withColumn("__g", group_struct(parts))
+    output = [*map(column, df.columns), column(alias)]
+
+    def split(rows: DataFrame) -> DataFrame:
+        framed = _split_frames(rows, sort, column(col), result, alias, low, high, skew)
+        return framed.select(*output)
+
+    if not parts:
+        return split(grouped.withColumn("__unit", whole_table_unit(df, skew)))
     hot = F.broadcast(hot_groups(grouped, F.col("__g"), skew).drop("__rows"))
     whole = grouped.join(hot, "__g", "left_anti").withColumn(alias, result.over(plain))
-    split = _split_frames(
-        grouped.join(hot, "__g"), sort, column(col), result, alias, low, high, skew
-    )
-    output = [*map(column, df.columns), column(alias)]
-    return whole.select(*output).union(split.select(*output))
+    return whole.select(*output).union(split(grouped.join(hot, "__g")))
 
 
 def _split_frames(

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from contextlib import contextmanager
 from typing import Any
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.expressions import as_list, column
@@ -34,10 +36,15 @@ def check_format(fmt: str) -> str:
     return fmt
 
 
-def missing_connector(error: Exception) -> bool:
-    """Whether Spark failed for want of the connector of a format."""
-    text = str(error)
-    return "DATA_SOURCE_NOT_FOUND" in text or "Failed to find data source" in text
+@contextmanager
+def connector_errors(fmt: str):
+    """Say plainly when Spark lacks the connector of a format."""
+    try:
+        yield
+    except (PySparkException, Py4JJavaError) as error:
+        if fmt == "delta" and "DATA_SOURCE_NOT_FOUND" in str(error):
+            raise ValueError("Delta tables need the Delta connector on Spark's classpath") from error
+        raise
 
 
 def read_table(
@@ -66,12 +73,8 @@ def read_table(
         return _read_csv(reader, path, schema, as_list(na_tokens), lenient)
     if schema is not None:
         reader = reader.schema(schema)
-    try:
+    with connector_errors(fmt):
         return reader.format(fmt).load(path)
-    except AnalysisException as error:
-        if fmt == "delta" and missing_connector(error):
-            raise ValueError("The delta format needs the Delta connector on Spark's classpath") from error
-        raise
 
 
 def _read_csv(reader, path: str, schema, tokens: list[str], lenient: bool) -> DataFrame:
@@ -114,7 +117,7 @@ def _infer_types(texts: DataFrame) -> dict[str, T.DataType]:
     checks = [F.count(F.lit(1)).alias("rows")]
     for i, name in enumerate(texts.columns):
         c = column(name)
-        whole = c.rlike(_INTEGER) & c.try_cast("bigint").isNotNull()
+        whole = F.when(c.isNotNull(), c.rlike(_INTEGER) & c.try_cast("bigint").isNotNull())
         checks += [
             F.count(c).alias(f"n{i}"),
             F.bool_and(whole).alias(f"int{i}"),

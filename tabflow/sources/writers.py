@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 
 from .paths import enriched_path, require_path
-from .readers import CSV_OPTIONS, check_format, missing_connector
+from .readers import CSV_OPTIONS, check_format, connector_errors
 
 MODES = ("overwrite", "append", None)
 
@@ -52,10 +51,6 @@ def write_table(
         raise ValueError(f"Unknown write mode {mode!r}; known: {list(MODES)}")
     writer = df.write.format(fmt).mode(mode or "errorifexists")
     writer = writer.options(**{**_WRITE_OPTIONS.get(fmt, {}), **dict(options or {})})
-    try:
+    with connector_errors(fmt):
         writer.save(path)
-    except AnalysisException as error:
-        if fmt == "delta" and missing_connector(error):
-            raise ValueError("The delta format needs the Delta connector on Spark's classpath") from error
-        raise
     return path

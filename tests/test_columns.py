@@ -1,0 +1,165 @@
+from datetime import datetime, timezone
+
+import pytest
+from pyspark.sql import functions as F
+
+import tabflow as tf
+from conftest import rows
+
+
+def test_add_constant_column(scores):
+    df = tf.add_column(scores, "Column_01", "New_Value_01")
+    assert df.columns == [*scores.columns, "Column_01"]
+    assert {r.Column_01 for r in df.collect()} == {"New_Value_01"}
+    assert scores.columns == ["Category", "Score", "s", "n"]
+
+
+def test_add_column_keeps_falsy_values(scores):
+    df = tf.add_column(tf.add_column(scores, "zero", 0), "no", False)
+    assert {(r.zero, r.no) for r in df.collect()} == {(0, False)}
+
+
+@pytest.mark.parametrize("value", [None, ""])
+def test_add_current_time(scores, value):
+    df = tf.add_column(scores, "Time", value)
+    assert df.schema["Time"].dataType.simpleString() == "timestamp"
+    times = {r.Time for r in df.collect()}
+    assert len(times) == 1 and None not in times
+
+
+def test_add_pinned_time(scores):
+    moment = datetime(2024, 5, 6, 7, 8, 9, 10, tzinfo=timezone.utc)
+    for now in (moment, moment.replace(tzinfo=None), "2024-05-06T09:08:09.000010+02:00"):
+        df = tf.add_column(scores, "Time", None, now=now)
+        assert df.select(F.unix_micros("Time")).first()[0] == 1714979289000010
+        text = tf.add_column(scores, "Time", "", now=now, as_string=True)
+        assert text.first().Time == "2024-05-06T07:08:09.000010+00:00"
+
+
+def test_current_time_as_text_is_utc(spark, scores):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        text = tf.add_column(scores, "Time", "", as_string=True).first().Time
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    moment = datetime.fromisoformat(text)
+    assert moment.utcoffset().total_seconds() == 0
+    assert abs((datetime.now(timezone.utc) - moment).total_seconds()) < 60
+
+
+def test_literals(scores):
+    df = tf.with_literal(scores, "x", -1.5)
+    df = tf.with_literal(tf.with_literal(df, "y", None), "z", None, "bigint")
+    assert rows(df.select("x", "y", "z").distinct()) == [(-1.5, None, None)]
+    assert [df.schema[c].dataType.simpleString() for c in "xyz"] == ["double", "string", "bigint"]
+
+
+def test_computed_columns(scores):
+    df = tf.with_column(scores, "double", "Score * 2")
+    df = tf.with_column(df, "next", F.col("n") + 1)
+    df = tf.with_columns(df, {"n": "n * 10", "old": "n"})
+    assert rows(tf.select(df, ["double", "next", "n", "old"]))[-1] == (60.0, None, None, None)
+    assert (22.0, 2, 10, 1) in rows(tf.select(df, ["double", "next", "n", "old"]))
+
+
+def test_two_way_choice(scores):
+    df = tf.where(scores, "tier", "Score > 15", "hi", "lo")
+    assert [r.tier for r in df.collect()] == ["lo", "hi", "hi", "lo"]
+
+
+def test_masked_update(scores):
+    df = tf.update_where(scores, "Score > 15", "s", "big")
+    assert [r.s for r in df.collect()] == ["x", "big", "big", "w"]
+    df = tf.update_where(scores, F.col("Category") == "a", "n", None)
+    assert [r.n for r in df.collect()] == [None, None, None, 4]
+    df = tf.update_where(scores, "Score > 15", "note", "big")
+    assert [r.note for r in df.collect()] == [None, "big", "big", None]
+
+
+def test_masked_update_keeps_types_apart(scores):
+    with pytest.raises(TypeError, match="Score"):
+        tf.update_where(scores, "true", "Score", "text")
+    with pytest.raises(TypeError, match="'s'"):
+        tf.update_where(scores, "true", "s", 1)
+
+
+def test_select_and_drop(scores):
+    assert tf.select(scores, ["n", "Category"]).columns == ["n", "Category"]
+    assert tf.drop(scores, ["s", "absent"]).columns == ["Category", "Score", "n"]
+    with pytest.raises(Exception, match="absent"):
+        tf.select(scores, "absent").collect()
+
+
+def test_odd_names(spark):
+    df = spark.createDataFrame([(1, None)], "`a.b` int, `Total Amount` double")
+    df = tf.fillna(df, 0, ["Total Amount"])
+    df = tf.rename(tf.select(df, ["a.b", "Total Amount"]), {"a.b": "x`y"})
+    assert df.columns == ["x`y", "Total Amount"]
+    out = tf.groupby_agg(df, ["x`y"], {"Total Amount": "sum"})
+    assert rows(out) == [(1, 0.0)] and out.columns == ["x`y", "sum_Total Amount"]
+
+
+def test_rename_swaps(scores):
+    df = tf.rename(scores, {"Score": "n", "n": "Score", "absent": "x"})
+    assert df.columns == ["Category", "n", "s", "Score"]
+    assert df.first().n == 11.0
+
+
+def test_rename_to_duplicate_fails(scores):
+    for new in ("n", "N"):
+        with pytest.raises(ValueError, match="two columns"):
+            tf.rename(scores, {"Score": new})
+
+
+def test_fill_missing(scores):
+    assert tf.fillna(scores, None) is scores
+    filled = tf.fillna(scores, 0).collect()
+    assert filled[3].Score == 0.0 and filled[2].n == 0
+    assert filled[2].Category is None and filled[2].s is None
+    filled = tf.fillna(scores, "0").collect()
+    assert filled[2].Category == "0" and filled[2].s == "0"
+    assert filled[3].Score is None and filled[2].n is None
+    filled = tf.fillna(scores, 7, "SCORE").collect()
+    assert filled[3].Score == 7.0 and filled[2].n is None
+
+
+def test_fill_counts_nan_as_missing(spark):
+    df = spark.createDataFrame([(float("nan"),), (None,), (2.0,)], "x double")
+    assert rows(tf.fillna(df, 1)) == [(1.0,), (1.0,), (2.0,)]
+
+
+def test_fill_sample_subset(spark):
+    df = spark.createDataFrame([(None, None, None), (1.5, 2, 3)], "amount double, quantity bigint, z int")
+    assert rows(tf.fillna(df, 0, ["amount", "quantity"])) == [(0.0, 0, None), (1.5, 2, 3)]
+
+
+def test_fill_booleans(spark):
+    df = spark.createDataFrame([(None, None)], "b boolean, n int")
+    assert rows(tf.fillna(df, True)) == [(True, None)]
+    with pytest.raises(ValueError, match="another type"):
+        tf.fillna(df, True, ["n"])
+
+
+@pytest.mark.parametrize(
+    "value, subset, reason",
+    [
+        (0.5, ["n"], "truncated"),
+        (0.5, None, "truncated"),
+        (float("nan"), ["n"], "truncated"),
+        (2**31, ["n"], "range"),
+        ("0", ["Score"], "another type"),
+        (0, ["s"], "another type"),
+        (0, ["absent"], "Unknown column"),
+    ],
+)
+def test_fill_refuses(scores, value, subset, reason):
+    with pytest.raises(ValueError, match=reason):
+        tf.fillna(scores, value, subset)
+
+
+def test_nan_to_null(spark):
+    df = spark.createDataFrame([(float("nan"), float("nan"), 1)], "x double, y float, n int")
+    assert rows(tf.nan_to_null(df)) == [(None, None, 1)]
+    assert tf.nan_to_null(df, ["y"]).first().y is None
+    assert tf.nan_to_null(df, ["y"]).first().x is not None
