@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -18,8 +19,8 @@ import tabflow as tf
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-# Makes the operators split groups of over 50 rows, whatever the size of the input.
-SPLIT = tf.SkewPolicy(small_bytes=0, hot_rows=50, broadcast=False)
+# Makes the operators split groups of over 500 rows, whatever the size of the input.
+SPLIT = tf.SkewPolicy(small_bytes=0, hot_rows=500, broadcast=False)
 
 
 def query(sql: str | None = None):
@@ -34,7 +35,9 @@ def query(sql: str | None = None):
     return register
 
 
+@cache
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A test table; its schema is read from the file once per session."""
     return tf.read_table(spark, f"{folder}/{name}.parquet", "parquet")
 
 

@@ -109,3 +109,36 @@ def test_hot_partitions_are_cut_evenly(spark):
     ends = cut.groupBy("__bucket").agg(F.min("v").alias("a"), F.max("v").alias("b"))
     ends = sorted((r["__bucket"], r.a, r.b) for r in ends.collect())
     assert all(x[2] < y[1] for x, y in zip(ends, ends[1:]))
+
+
+def final_plan(df):
+    df.collect()
+    text = plan(df)
+    return text[: text.index("Initial Plan")]
+
+
+def test_without_hot_groups_only_the_plain_operator_runs(spark):
+    even = tf.SkewPolicy(small_bytes=0, hot_rows=10**9, broadcast=False)
+    events = catalog.table(spark, FOLDER, "events")
+    text = final_plan(
+        tf.window(events, "user_id", ["ts", "event_id"], func="sum", col="value", skew=even)
+    )
+    assert text.count("Window [") == 1 and text.count("Exchange hashpartitioning") == 1
+    text = final_plan(tf.groupby_agg(events, "user_id", {"value": "median"}, skew=even))
+    assert "__bounds" not in text and "__start" in text
+    customers = catalog.customer_names(spark, FOLDER)
+    text = final_plan(
+        tf.join(customers, catalog.big_orders(spark, FOLDER), "c_custkey", skew=even)
+    )
+    assert text.count("Join") == 1
+
+
+def test_size_check_chooses_the_operator(spark):
+    events = catalog.table(spark, FOLDER, "events")
+    call = {"func": "sum", "col": "value"}
+    small = tf.window(events, "user_id", ["ts", "event_id"], **call)
+    assert "__g" not in plan(small)
+    tight = tf.SkewPolicy(small_bytes=1000)
+    assert "__g" in plan(tf.window(events, "user_id", ["ts", "event_id"], **call, skew=tight))
+    unsized = spark.createDataFrame(events.limit(5).rdd, events.schema)
+    assert "__g" in plan(tf.window(unsized, "user_id", ["ts", "event_id"], **call))
