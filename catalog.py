@@ -41,10 +41,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return tf.read_table(spark, f"{folder}/{name}.parquet", "parquet")
 
 
+@cache
+def _local_folder() -> tempfile.TemporaryDirectory:
+    """For sessions on one machine; removed when Python ends."""
+    return tempfile.TemporaryDirectory(prefix="tabflow-")
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder name on storage that all executors share."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.mkdtemp(prefix='tabflow-')}/tabflow-{uuid.uuid4().hex}"
+    return f"{shared or _local_folder().name}/tabflow-{uuid.uuid4().hex}"
 
 
 def scores(spark: SparkSession, folder: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import os
 
 import duckdb
 import pytest
@@ -14,7 +15,7 @@ TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 ]
-FOLDER = DATA / "sf0.01"
+FOLDER = DATA / os.environ.get("TABFLOW_SF", "sf0.01")
 
 
 @pytest.fixture(scope="module")
