@@ -115,25 +115,26 @@ def _spread(
 ) -> DataFrame:
     """Add both salts to ``df``: its own one dealt out, the other's by copying."""
     columns = df.columns
-    deal, copies = F.lit(0).cast("long"), F.lit(1).cast("long")
+    deal = copy = F.lit(0).cast("long")
     spread = df
     if own is not None:
         same = [column(k).eqNullSafe(F.col(f"__h{i}")) for i, k in enumerate(on)]
-        spread = spread.join(F.broadcast(own.withColumnRenamed("__salts", "__own")), same, "left")
+        spread = spread.join(F.broadcast(own), same, "left")
         spread = spread.drop(*[f"__h{i}" for i in range(len(on))])
         # The reading task's number deals out exact copies of a row as well.
         dealt = F.xxhash64(*hashable(df)) if hashable(df) else F.lit(0)
-        dealt = F.pmod(dealt, F.col("__own")) + F.spark_partition_id()
-        deal = F.coalesce(F.pmod(dealt, F.col("__own")), deal)
+        dealt = F.pmod(dealt, F.col("__salts")) + F.spark_partition_id()
+        deal = F.coalesce(F.pmod(dealt, F.col("__salts")), deal)
     if other is not None:
+        # One row per key and salt, in all under 2 * max_hot: the join itself copies.
+        salts = F.explode(F.sequence(copy, F.col("__salts") - 1)).alias("__copy")
+        each = other.select(*[f"__h{i}" for i in range(len(on))], salts)
         same = [column(k) == F.col(f"__h{i}") for i, k in enumerate(on)]
-        spread = spread.join(
-            F.broadcast(other.withColumnRenamed("__salts", "__copies")), same, "left"
-        )
-        copies = F.coalesce("__copies", copies)
+        spread = spread.join(F.broadcast(each), same, "left")
+        copy = F.coalesce("__copy", copy)
+        is_copied = F.col("__copy").isNotNull()
+    else:
+        is_copied = F.lit(False)
     return spread.select(
-        *map(column, columns),
-        deal.alias(own_salt),
-        F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias(other_salt),
-        (copies > 1).alias(copied),
+        *map(column, columns), deal.alias(own_salt), copy.alias(other_salt), is_copied.alias(copied)
     )
