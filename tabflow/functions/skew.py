@@ -12,6 +12,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .expressions import column
+
 
 @dataclass(frozen=True)
 class SkewPolicy:
@@ -97,7 +99,7 @@ def with_range_bucket(rows: DataFrame, order: list[Column], policy: SkewPolicy)
     # The optimizer traces join keys back through projections, which doubles the
     # expression at each halving; it does not look behind an explode.
     bucket = F.explode(F.array(f"__at{len(steps)}")).alias("__bucket")
-    return found.select(*rows.columns, bucket)
+    return found.select(*map(column, rows.columns), bucket)
 
 
 def bucket_starts(bucketed: DataFrame) -> DataFrame:

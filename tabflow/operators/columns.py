@@ -129,7 +129,7 @@ def rename(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     targets = {fold(old): new for old, new in mapping.items()}
     renamed = [targets.get(fold(c), c) for c in df.columns]
     check_unique(df, renamed, "rename")
-    return df.select(*[column(c).alias(n) for c, n in zip(df.columns, renamed)])
+    return df.toDF(*renamed)
 
 
 # Bits of each integral type, sign included.

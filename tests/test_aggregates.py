@@ -151,3 +151,18 @@ def test_split_median_by_brute_force(spark, seed, size, values):
     assert got.keys() == {e[0] for e in expected}
     for row in expected:
         assert got[row[0]] == pytest.approx(row, abs=1e-12)
+
+
+def test_split_median_with_odd_names(spark):
+    df = spark.createDataFrame([(1, 1.0), (1, 4.0), (None, 3.0)], "`a.b` int, `Total Amount` double")
+    out = tf.groupby_agg(df, ["a.b"], {"Total Amount": ["median", "max"]}, skew=SPLIT)
+    assert out.columns == ["a.b", "median_Total Amount", "max_Total Amount"]
+    assert rows(out) == [(None, 3.0, 3.0), (1, 2.5, 4.0)]
+
+
+def test_medians_of_integers_and_decimals_are_doubles(spark):
+    df = spark.sql("SELECT 1 AS k, 2 AS i, 1.5BD AS d UNION ALL SELECT 1, 3, 2.0BD")
+    for policy in (SPLIT, tf.SkewPolicy(small_bytes=1 << 60)):
+        out = tf.groupby_agg(df, "k", {"i": "median", "d": "median"}, skew=policy)
+        assert rows(out) == [(1, 2.5, 1.75)]
+        assert [f.dataType.simpleString() for f in out.schema.fields[1:]] == ["double", "double"]

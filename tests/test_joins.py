@@ -77,3 +77,12 @@ def test_refusals(spark):
     with pytest.raises(ValueError, match="Unknown column"):
         tf.join(left, left, "absent")
     assert tf.join(left, left, "k", "left_semi").count() == 3
+
+
+def test_salted_join_with_odd_names(spark):
+    left = spark.createDataFrame([(1, "x")] * 9 + [(2, "y")], "`a.b` int, `l l` string")
+    right = spark.createDataFrame([(1, 5)] * 4, "`a.b` int, `r.r` int")
+    policy = tf.SkewPolicy(small_bytes=0, hot_rows=2, broadcast=False)
+    out = tf.join(left, right, ["a.b"], "full", skew=policy)
+    assert out.columns == ["a.b", "l l", "r.r"]
+    assert rows(out) == [(1, "x", 5)] * 36 + [(2, "y", None)]

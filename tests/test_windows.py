@@ -76,3 +76,11 @@ def test_refusals(scores):
         tf.window(scores, "Category", "n", func="sum", col="n", rows=(1, 0))
     with pytest.raises(ValueError, match="two columns"):
         tf.window(scores, "Category", "n", func="sum", col="n", alias="S")
+
+
+def test_split_frames_with_odd_names(spark):
+    df = spark.createDataFrame([(1, i, float(i)) for i in range(20)], "`a.b` int, `t t` int, v double")
+    policy = tf.SkewPolicy(small_bytes=0, hot_rows=3)
+    out = tf.window(df, "a.b", ["t t"], func="max", col="v", rows=(0, 2), skew=policy)
+    assert out.columns == ["a.b", "t t", "v", "max_v"]
+    assert [r[3] for r in rows(out)] == [min(i + 2.0, 19.0) for i in range(20)]
