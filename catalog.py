@@ -20,7 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 # Makes the operators split groups of over 500 rows, whatever the size of the input.
-SPLIT = tf.SkewPolicy(small_bytes=0, hot_rows=500, broadcast=False)
+SPLIT = tf.SkewPolicy(small_bytes=0, hot_rows=500, max_hot=4096, broadcast=False)
 
 
 def query(sql: str | None = None):

@@ -189,15 +189,23 @@ def _split_medians(
             for i, c in enumerate(cols)
         ]
     )
-    # One row per value; __g holds the group and which of cols the value is of.
-    long = (
-        df.select(group_struct(keys).alias("__k"), F.inline(values))
-        .where("__v IS NOT NULL")
-        .select(F.struct("__k", "__i").alias("__g"), "__v")
-    )
-    hot = F.broadcast(hot_groups(long, F.col("__g"), skew).drop("__rows"))
-    split = with_range_bucket(long.join(hot, "__g"), [F.col("__v")], skew).drop("__unit")
-    whole = long.join(hot, "__g", "left_anti").withColumn("__bucket", F.lit(-1))
+    grouped = df.select(group_struct(keys).alias("__k"), *map(column, cols))
+    hot = hot_groups(grouped, F.col("__k"), skew)
+    # Several columns give a row that many values.
+    hot = F.broadcast(hot.selectExpr("__g AS __k", f"__unit * {len(cols)} AS __unit"))
+
+    def long(rows: DataFrame, *kept: str) -> DataFrame:
+        """One row per value; __g holds the group and which of cols the value is of."""
+        return (
+            rows.select("__k", *kept, F.explode(values).alias("__x"))
+            .where("__x.__v IS NOT NULL")
+            .select(F.struct("__k", "__x.__i").alias("__g"), "__x.__v", *kept)
+        )
+
+    split = with_range_bucket(
+        long(grouped.join(hot, "__k"), "__unit"), [F.col("__v")], skew
+    ).drop("__unit")
+    whole = long(grouped.join(hot, "__k", "left_anti")).withColumn("__bucket", F.lit(-1))
 
     counted = (
         whole.unionByName(split).groupBy("__g", "__bucket", "__v").agg(F.count("*").alias("__c"))
