@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabflow.llm.shared import arrow_schema, column, extend, map_arrow
+from tabflow.llm.shared import arrow_schema, column, extend, map_arrow, spare_name
 
 GAP = 32  # what stands for everything that is no letter
 CHUNK = 1 << 20  # characters of a text looked at together
@@ -184,9 +184,11 @@ def predict(
     table = np.array([x for _, x in learned], np.float64).reshape(len(names), dims)
     table = (table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-12)).astype(np.float32)
     picked = df.select(
-        column(id_col).alias("id"), column(text_col).alias("text"), *[column(c) for c in keep]
+        column(id_col).alias("id"),
+        column(text_col).alias(spare_name(keep)),
+        *[column(c) for c in keep],
     )
-    out = extend(picked.drop("text").schema, "lang_pred string, score double")
+    out = extend(picked.drop(picked.columns[1]).schema, "lang_pred string, score double")
     schema = arrow_schema(out)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

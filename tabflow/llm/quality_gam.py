@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tabflow.llm.shared import column, extend, map_batches
+from tabflow.llm.shared import column, extend, map_batches, spare_name
 
 FEATURES = (
     "log_words", "word_length", "upper_share", "symbol_share", "shout_share", "repeat_share",
@@ -219,9 +219,11 @@ def quality_scores(
     tables, a few thousand numbers, go to the tasks with the code.
     """
     picked = df.select(
-        column(id_col).alias("id"), column(text_col).alias("text"), *[column(c) for c in keep]
+        column(id_col).alias("id"),
+        column(text_col).alias(spare_name(keep)),
+        *[column(c) for c in keep],
     )
-    out = extend(picked.drop("text").schema, "score double, predicted int")
+    out = extend(picked.drop(picked.columns[1]).schema, "score double, predicted int")
     names = out.fieldNames()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 from pathlib import Path
 
@@ -86,6 +86,11 @@ def arrow_schema(schema: str | StructType) -> pa.Schema:
     return to_arrow_schema(kind)
 
 
+def spare_name(taken: Sequence[str]) -> str:
+    """A column name that is none of those, in upper or lower case."""
+    return "text" + "_" * max((len(c) for c in taken), default=0)
+
+
 def crc_of_id(doc_id: Column) -> Column:
     """crc32 of an id written as text; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary"))
