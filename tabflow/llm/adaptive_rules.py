@@ -182,8 +182,8 @@ def limits(
 #: For each measure the factor and margin on top of its quantile.
 SLACK = {
     "symbol_share": (2.0, 0.01),
-    "dup_line_share": (2.0, 0.02),
-    "repeat_share": (1.5, 0.1),
+    "dup_line_share": (2.0, 0.1),
+    "repeat_share": (1.5, 0.3),
     "word_length": (1.5, 0.0),
 }
 
