@@ -27,6 +27,8 @@ SHALLOW = 24
 CHUNK = 1 << 16
 #: An anchor with more occurrences than this is dealt out string by string.
 HOT = 256
+#: Starts of such an anchor that are counted together first.
+RUN = 16
 #: Suffixes sorted together in a task.
 SUFFIXES = 400_000
 
@@ -261,33 +263,67 @@ def sort_contexts(contexts: DataFrame, length: int) -> DataFrame:
 def hot_strings(contexts: DataFrame, length: int) -> DataFrame:
     """Spans as of :func:`sort_contexts` for anchors with very many contexts.
 
-    A group that may be as large as the corpus can't be sorted in one task. Each
-    string is counted by a 128-bit hash, combined before the shuffle, and those that
-    occur twice are joined back; adaptive execution splits a hot one.
+    A group that may be as large as the corpus can't be sorted in one task. Its
+    contexts are cut into runs of starts, aligned at the anchor. Runs are counted by
+    a 128-bit hash of their bytes: those that occur twice are repeated as a whole. Of
+    each kind of run one is taken apart, and its strings counted in the same way.
+    Counts are combined before the shuffle; adaptive execution splits a hot hash.
     """
-    schema = extend(contexts.select("id", "th").schema, "start bigint, h1 bigint, h2 bigint")
-    kind = arrow_schema(schema)
+    ids = contexts.select("id", "th").schema
+    run_schema = extend(ids, "start bigint, many int, h1 bigint, h2 bigint, bytes binary")
+    run_kind = arrow_schema(run_schema)
+    string_schema = extend(ids, "start bigint, h1 bigint, h2 bigint")
+    string_kind = arrow_schema(string_schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(data: bytes) -> list[int]:
+        return np.frombuffer(xxhash.xxh3_128_digest(data), "<i8").tolist()
+
+    def batch_of(rows: list[tuple], kind: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
+
+    def cut_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
+            for low in range(0, batch.num_rows, 2000):
                 out = []
-                for id_, th, place, data in zip(*(c.to_pylist() for c in batch.slice(low, 1000).columns)):
-                    first = place >> 20
-                    for k in range(((place >> 10) & 1023) + 1):
-                        digest = xxhash.xxh3_128_digest(data[k : k + length])
-                        h1, h2 = np.frombuffer(digest, "<i8").tolist()
-                        out.append((id_, th, first + k, h1, h2))
+                for id_, th, place, data in zip(*(c.to_pylist() for c in batch.slice(low, 2000).columns)):
+                    many, behind = ((place >> 10) & 1023) + 1, place & 1023
+                    k = 0
+                    while k < many:
+                        # Up to the next start whose distance to the anchor is a multiple of RUN.
+                        size = min(many - k, (behind - k) % RUN + 1)
+                        part = data[k : k + size - 1 + length]
+                        out.append((id_, th, (place >> 20) + k, size, *hashed(part), part))
+                        k += size
                 if out:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, f.type) for c, f in zip(zip(*out), kind)], schema=kind
-                    )
+                    yield batch_of(out, run_kind)
 
-    strings = map_arrow(contexts.select("id", "th", "place", "bytes"), run, schema)
-    twice = strings.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return strings.join(twice.hint("merge"), ["h1", "h2"]).select(
+    def cut_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 2000):
+                out = [
+                    (id_, th, start + k, *hashed(data[k : k + length]))
+                    for id_, th, start, many, data in zip(*(c.to_pylist() for c in batch.slice(low, 2000).columns))
+                    for k in range(many)
+                ]
+                if out:
+                    yield batch_of(out, string_kind)
+
+    runs = materialise(map_arrow(contexts.select("id", "th", "place", "bytes"), cut_runs, run_schema))
+    kinds = materialise(
+        runs.groupBy("h1", "h2").agg(
+            F.count("*").alias("n"), F.min(F.struct("id", "th", "start", "many", "bytes")).alias("of")
+        )
+    )
+    twice = kinds.where("n > 1").select("h1", "h2")
+    whole = runs.join(twice.hint("merge"), ["h1", "h2"]).select(
+        "id", "th", "start", (F.col("start") + F.col("many") - 1 + length).alias("stop")
+    )
+    strings = map_arrow(kinds.select("of.*"), cut_strings, string_schema)
+    again = strings.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    single = strings.join(materialise(again).hint("merge"), ["h1", "h2"]).select(
         "id", "th", "start", (F.col("start") + length).alias("stop")
     )
+    return whole.unionByName(single)
 
 
 def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
@@ -300,7 +336,9 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     twice = counted.where("n > 1").select(
         "anchor", (F.col("lo") == F.col("hi")).alias("alike"), (F.col("n") > HOT).alias("hot")
     )
-    kept = materialise(found.join(twice.hint("merge"), "anchor"))
+    # Written first: adaptive execution splits a hot anchor only if nothing but a
+    # shuffle stands between the join and its inputs.
+    kept = materialise(found.join(materialise(twice).hint("merge"), "anchor"))
 
     def whole(rows: DataFrame) -> DataFrame:
         first = F.shiftright("place", 20)
