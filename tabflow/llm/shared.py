@@ -112,7 +112,8 @@ def components(edges: DataFrame) -> DataFrame:
         if large:
             both = both.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
-        least = least.select("u", F.least("u", "m").alias("m"))
+        # Written, so that the join has shuffles as its inputs and a hot node can be split.
+        least = materialise(least.select("u", F.least("u", "m").alias("m")))
         joined = both.join(least.hint("merge"), "u")
         if large:
             out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
