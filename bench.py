@@ -74,11 +74,12 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    seconds = {}
+    seconds, counts = {}, {}
     for name in sys.argv[1:] or HEADLINE:
         timed(spark, folder, name, warmups)
         times = timed(spark, folder, name, runs)
         seconds[name] = round(statistics.median(times), 4)
+        counts[name] = len(times)
         print(f"{name}: {seconds[name]}", file=sys.stderr, flush=True)
     spark.stop()
     print(
@@ -88,6 +89,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 4),
                 "unit": "sec",
                 "queries": seconds,
+                "runs": counts,
                 "sf": folder.rstrip("/").rsplit("sf", 1)[-1],
             }
         )

@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Callable
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 import tabflow as tf
 
@@ -50,6 +50,8 @@ def _local_folder() -> tempfile.TemporaryDirectory:
 def scratch(spark: SparkSession) -> str:
     """A new folder name on storage that all executors share."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{shared or _local_folder().name}/tabflow-{uuid.uuid4().hex}"
 
 
@@ -83,7 +85,7 @@ def rounded(df: DataFrame, **digits: int) -> DataFrame:
 # --- the sample job ---------------------------------------------------------
 
 SAMPLE_OPS = [
-    {"op": "add_column", "name": "Column_01", "value": "New_Value_01"},
+    {"op": "add_column", "name": "stage", "value": "raw"},
     {"op": "add_column", "name": "Time", "value": ""},
     {"op": "filter", "expr": "Score > 10"},
     {"op": "groupByReduce", "group_cols": ["Category"], "func": "mean"},
@@ -96,7 +98,7 @@ _SAMPLE_SQL = """SELECT event_type AS Category, round(avg(value), 4) AS Score,
 
 @query(_SAMPLE_SQL)
 def etl_flagship(spark, folder):
-    df = tf.add_column(scores(spark, folder), "Column_01", "New_Value_01")
+    df = tf.add_column(scores(spark, folder), "stage", "raw")
     df = tf.add_column(df, "Time", "")
     df = tf.filter_rows(df, "Score > 10")
     df = tf.groupby_reduce(df, "Category", "mean")
@@ -165,9 +167,9 @@ def op_list_join(spark, folder):
 # --- columns ----------------------------------------------------------------
 
 
-@query("SELECT *, 'New_Value_01' AS Column_01 FROM customer")
+@query("SELECT *, 'raw' AS stage FROM customer")
 def add_column(spark, folder):
-    return tf.add_column(table(spark, folder, "customer"), "Column_01", "New_Value_01")
+    return tf.add_column(table(spark, folder, "customer"), "stage", "raw")
 
 
 @query("SELECT c_custkey, true AS has_time FROM customer")
@@ -803,6 +805,40 @@ def distinct(spark, folder):
     )
 
 
+@query(
+    """SELECT event_id, round(sum(value) OVER (PARTITION BY event_type ORDER BY ts, event_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) AS sum_value FROM events"""
+)
+def window_running_sum_split(spark, folder):
+    df = tf.select(table(spark, folder, "events"), ["event_id", "event_type", "ts", "value"])
+    frame = (Window.unboundedPreceding, 0)
+    df = tf.window(df, "event_type", ["ts", "event_id"], func="sum", col="value", rows=frame, skew=SPLIT)
+    return rounded(tf.select(df, ["event_id", "sum_value"]), sum_value=2)
+
+
+@query(
+    """SELECT event_id, round(max(value) OVER (PARTITION BY event_type ORDER BY ts, event_id
+    ROWS BETWEEN 1200 PRECEDING AND 700 PRECEDING), 4) AS max_value FROM events"""
+)
+def window_wide_frame_split(spark, folder):
+    df = tf.select(table(spark, folder, "events"), ["event_id", "event_type", "ts", "value"])
+    df = tf.window(
+        df, "event_type", ["ts", "event_id"], func="max", col="value", rows=(-1200, -700), skew=SPLIT
+    )
+    return rounded(tf.select(df, ["event_id", "max_value"]), max_value=4)
+
+
+@query(
+    """SELECT c_custkey, (CASE WHEN c_acctbal >= 5000 THEN c_nationkey + 0.5 ELSE 0.25 END)::DOUBLE AS v
+    FROM customer"""
+)
+def fillna_decimal(spark, folder):
+    df = table(spark, folder, "customer").selectExpr(
+        "c_custkey", "CASE WHEN c_acctbal >= 5000 THEN CAST(c_nationkey + 0.5 AS DECIMAL(8,2)) END AS v"
+    )
+    return tf.with_column(tf.fillna(df, 0.25, "v"), "v", "double(v)")
+
+
 # --- sources and sinks ------------------------------------------------------
 
 
@@ -817,6 +853,18 @@ def csv_round_trip(spark, folder):
     return _round_trip(spark, df, "csv", df.schema)
 
 
+@query("SELECT * FROM documents")
+def csv_round_trip_line_breaks(spark, folder):
+    df = table(spark, folder, "documents")
+    return _round_trip(spark, df, "csv", df.schema, na_tokens=[])
+
+
+@query("SELECT c_custkey, CAST(DATE '2024-01-01' + INTERVAL 1 DAY AS VARCHAR)[1:10] AS d FROM customer")
+def csv_one_token(spark, folder):
+    df = table(spark, folder, "customer").selectExpr("c_custkey", "date'2024-01-02' AS d")
+    return _round_trip(spark, df, "csv", na_tokens="NA")
+
+
 @query("SELECT * FROM customer")
 def csv_inferred_types(spark, folder):
     df = _round_trip(spark, table(spark, folder, "customer"), "csv")

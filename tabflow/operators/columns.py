@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable, Mapping
 from datetime import datetime, timezone
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -132,6 +133,7 @@ def rename(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     return df.toDF(*renamed)
 
 
+_LARGEST_FLOAT = (2 - 2**-23) * 2.0**127
 # Bits of each integral type, sign included.
 _INTEGRAL_BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
 
@@ -144,6 +146,16 @@ def _fill_problem(value: Any, dtype: T.DataType) -> str | None:
         return None if isinstance(dtype, T.StringType) else "type"
     if not isinstance(dtype, T.NumericType):
         return "type"
+    if isinstance(dtype, T.DecimalType):
+        if isinstance(value, float) and not math.isfinite(value):
+            return "is out of range"
+        exact = Decimal(str(value))
+        if abs(exact) >= Decimal(10) ** (dtype.precision - dtype.scale):
+            return "is out of range"
+        return None if exact == round(exact, dtype.scale) else "would be truncated"
+    if isinstance(dtype, T.FloatType):
+        fits = not math.isfinite(value) or abs(value) <= _LARGEST_FLOAT
+        return None if fits else "is out of range"
     bits = _INTEGRAL_BITS.get(type(dtype))
     if bits is None:
         return None

@@ -35,7 +35,10 @@ def join(
     Null keys match nothing. Raises if the tables share a name that is no key.
 
     Small inputs, and joins in which Spark can broadcast a side, go to Catalyst
-    as they are. Otherwise hot keys are salted, see :func:`_salted_join`.
+    as they are. So do large inner, semi and anti joins, of which adaptive
+    execution splits hot keys from one read of each side. It can't split the right
+    side of a left join, the left side of a right join, or a full join; hot keys
+    there are salted, see :func:`_salted_join`.
     """
     on = as_list(on)
     if how not in KINDS:
@@ -60,6 +63,11 @@ def join(
         fits(sides[s], limit) for s in _BROADCASTABLE[how]
     ):
         return df.join(other, on, how)
+    if half:
+        # A key's repeats on the right add nothing, and are combined before the shuffle.
+        return df.join(other.distinct(), on, how)
+    if how == "inner":
+        return df.join(other, on, how)
     return _salted_join(df, other, on, how, skew)
 
 
@@ -82,19 +90,14 @@ def _salted_join(
     row, for its key is on the other side; such copies are removed. Null keys
     are dealt out but never copied, as they have no partners.
     """
-    half = how in ("left_semi", "left_anti")
-    if half:
-        # A key's repeats on the right add nothing, and are combined before the shuffle.
-        other = other.distinct()
-    hot_left = _salts(df, on, skew)
-    hot_right = None if half else _salts(other, on, skew)
+    hot_left = _salts(df, on, skew) if how != "left" else None
+    hot_right = _salts(other, on, skew) if how != "right" else None
     left = _spread(df, on, "__l", "__r", hot_left, hot_right, "__left_copied")
-    right = _spread(other, on, "__r", "__l", None if half else hot_right, hot_left, "__right_copied")
+    right = _spread(other, on, "__r", "__l", hot_right, hot_left, "__right_copied")
     joined = left.join(right, [*on, "__l", "__r"], how)
-    if not half:
-        stray_left = F.coalesce("__left_copied", F.lit(False)) & F.col("__right_copied").isNull()
-        stray_right = F.coalesce("__right_copied", F.lit(False)) & F.col("__left_copied").isNull()
-        joined = joined.where(~stray_left & ~stray_right)
+    stray_left = F.coalesce("__left_copied", F.lit(False)) & F.col("__right_copied").isNull()
+    stray_right = F.coalesce("__right_copied", F.lit(False)) & F.col("__left_copied").isNull()
+    joined = joined.where(~stray_left & ~stray_right)
     return joined.drop("__l", "__r", "__left_copied", "__right_copied")
 
 

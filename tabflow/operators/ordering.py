@@ -12,19 +12,16 @@ from ..functions.expressions import as_list, column, hashable
 def order_by(df: DataFrame, cols: str | Iterable[str]) -> DataFrame:
     """Sort ascending by ``cols``, nulls first.
 
-    Rows that tie are ordered by a hash of the whole row and then by the task
-    that read them. Spark range-partitions on all sort keys, so this spreads a
-    value that a large share of the rows has over many tasks.
+    Rows that tie are ordered by a hash of the whole row. Spark range-partitions
+    on all sort keys, so a value that a large share of the rows has is spread over
+    many tasks; rows that are equal in every column stay together. The hash reads
+    all columns of ``df``; filters on the result still reach the scan.
     """
     names = as_list(cols)
     if not names:
         return df
-    tie = {
-        "__tie": F.xxhash64(*hashable(df)) if hashable(df) else F.lit(0),
-        "__task": F.spark_partition_id(),
-    }
-    keys = [column(n) for n in names]
-    return df.withColumns(tie).orderBy(*keys, "__tie", "__task").drop(*tie)
+    tie = [F.xxhash64(*hashable(df))] if hashable(df) else []
+    return df.orderBy(*[column(n) for n in names], *tie)
 
 
 def limit(df: DataFrame, n: int) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.aggregate_functions import WINDOWED, aggregate, check_function
-from ..functions.expressions import as_list, check_unique, column, group_struct, name_folder
+from ..functions.expressions import as_list, check_unique, column, group_struct, hashable
 from ..functions.skew import (
     DEFAULT_SKEW,
     SkewPolicy,
@@ -34,7 +34,9 @@ def window(
 
     ``order_by`` should be unique within a partition: Spark orders tied rows
     arbitrarily, and only a total order can be cut anywhere. Partitions too
-    large for one task are cut into blocks, see :func:`_split_frames`.
+    large for one task are cut into blocks, see :func:`_split_frames`; frames
+    without an end on one side are not, and need a partition to fit in a task.
+    Column names that begin with two underscores raise.
     """
     check_function(func, WINDOWED)
     parts, order = as_list(partition_by), as_list(order_by)
@@ -49,14 +51,20 @@ def window(
     result = aggregate(func, column(col))
     sort = [column(o) for o in order]
     plain = Window.partitionBy(*map(column, parts)).orderBy(*sort).rowsBetween(low, high)
-    if fits(df, skew.small_bytes):
+    reserved = [c for c in (*df.columns, alias) if c.startswith("__")]
+    if reserved:
+        raise ValueError(f"Reserved column names: {reserved}")
+    unbounded = low <= Window.unboundedPreceding or high >= Window.unboundedFollowing
+    if unbounded or fits(df, skew.small_bytes):
         return df.withColumn(alias, result.over(plain))
 
     grouped = df.withColumn("__g", group_struct(parts))
     output = [*map(column, df.columns), column(alias)]
 
+    tie = F.xxhash64(*hashable(df)) if hashable(df) else F.lit(0)
+
     def split(rows: DataFrame) -> DataFrame:
-        framed = _split_frames(rows, sort, column(col), result, alias, low, high, skew)
+        framed = _split_frames(rows, sort, tie, result, alias, low, high, skew)
         return framed.select(*output)
 
     if not parts:
@@ -69,7 +77,7 @@ def window(
 def _split_frames(
     rows: DataFrame,
     sort: list[Column],
-    value: Column,
+    tie: Column,
     result: Column,
     alias: str,
     low: int,
@@ -81,9 +89,10 @@ def _split_frames(
     Every row first gets its position in its partition, from the row counts of
     the ranges before its own. Blocks of ``__unit`` positions are then windowed
     apart; a row is copied to the blocks in whose frames it takes part, and each
-    block returns only its own rows.
+    block returns only its own rows. Tied rows are told apart by ``tie``, a hash of
+    the row; only rows equal in all columns can't be cut apart.
     """
-    keys = {f"__o{i}": s for i, s in enumerate(sort)} | {"__o": F.xxhash64(value)}
+    keys = {f"__o{i}": s for i, s in enumerate(sort)} | {"__o": tie}
     names = [F.col(k) for k in keys]
     bucketed = with_range_bucket(rows.withColumns(keys), names, skew)
     nth = F.row_number().over(Window.partitionBy("__g", "__bucket").orderBy(*names))
@@ -91,11 +100,12 @@ def _split_frames(
         bucketed.withColumn("__nth", nth)
         .join(bucket_starts(bucketed), ["__g", "__bucket"])
         .withColumn("__pos", F.col("__start") + F.col("__nth") - 1)
-        .drop("__bucket", "__nth", "__start", "__total", *keys)
+        .drop("__bucket", "__nth", "__start", *keys)
     )
     before, after = max(high, 0), max(-low, 0)
-    first = F.greatest(F.lit(0), F.expr(f"(__pos - {before}L) div __unit"))
-    last = F.expr(f"(__pos + {after}L) div __unit")
+    # No further than the partition's first and last block, however wide the frame is.
+    first = F.expr(f"greatest(0L, __pos - {before}L) div __unit")
+    last = F.expr(f"least(__total - 1, __pos + {after}L) div __unit")
     copied = placed.withColumn("__block", F.explode(F.sequence(first, last)))
     frame = Window.partitionBy("__g", "__block").orderBy("__pos").rowsBetween(low, high)
     return copied.withColumn(alias, result.over(frame)).where("__block = __pos div __unit")

@@ -25,7 +25,7 @@ def run_job(spark: SparkSession, spec: Mapping[str, Any]) -> str:
     ``read_table``), ``output`` (``path``, ``format``, ``mode``, ``options``) and
     ``operations``; also ``tables``, further inputs by alias, and
     ``required_columns`` of the result. Without an output path the result goes
-    beside the input.
+    beside the input, and without an output format in that of the input.
     """
     unknown = set(spec) - {"input", "output", "operations", "tables", "required_columns"}
     if unknown:
@@ -38,7 +38,7 @@ def run_job(spark: SparkSession, spec: Mapping[str, Any]) -> str:
     return write_table(
         result,
         sink.get("path"),
-        sink.get("format") or "csv",
+        sink.get("format") or source.get("format") or "csv",
         sink.get("mode"),
         input_path=source["path"],
         options=sink.get("options"),

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import posixpath
+import re
+from pathlib import PurePosixPath
+
+_SCHEME = re.compile(r"^([a-zA-Z][\w+.-]*:)//+")
 
 
 def require_path(path: str | None) -> str:
@@ -13,10 +16,11 @@ def require_path(path: str | None) -> str:
 
 def enriched_path(input_path: str) -> str:
     """Default output for an input: ``d/f.csv`` gives ``d/f_enriched.csv``."""
-    path = require_path(input_path).replace("\\", "/").rstrip("/")
-    folder, name = posixpath.split(path)
-    stem, extension = posixpath.splitext(name)
-    return posixpath.join(folder, f"{stem}_enriched{extension or '.csv'}")
+    whole = PurePosixPath(require_path(input_path).replace("\\", "/"))
+    scheme = _SCHEME.match(str(input_path))
+    named = whole.with_name(f"{whole.stem}_enriched{whole.suffix or '.csv'}")
+    # A path object merges the slashes of a URI.
+    return str(named).replace(scheme[1] + "/", scheme[0], 1) if scheme else str(named)
 
 
 def object_store_uri(account: str, container: str, path: str) -> str:

@@ -55,6 +55,7 @@ def read_table(
     *,
     na_tokens: str | Iterable[str] = NA_TOKENS,
     lenient: bool = False,
+    multi_line: bool = True,
     options: Mapping[str, Any] | None = None,
 ) -> DataFrame:
     """Read a CSV, JSON (one object per line), Parquet or Delta table.
@@ -62,15 +63,24 @@ def read_table(
     ``path`` is any URI that Spark's file systems know. CSV files have a header
     row; cells equal to one of ``na_tokens`` become null. Give a ``schema`` for
     large CSV or JSON inputs: without one, finding the types takes a pass over
-    the data. ``lenient`` turns CSV cells that do not fit their type into nulls
-    instead of failing.
+    the data.
+
+    Rows with more or fewer cells than the header, cells that do not fit their
+    type, and lines that are no JSON object fail; ``lenient`` turns what is bad
+    into nulls. Quoted CSV cells may hold line breaks, for which a file is read by
+    one task; ``multi_line=False`` lets large files without such cells be split.
+    A torn cell then fails for its number of cells, except in a table of one column.
     """
     path = require_path(path)
     check_format(fmt)
     reader = spark.read.options(**dict(options or {}))
     if fmt == "csv":
-        reader = reader.options(**{**CSV_OPTIONS, **dict(options or {})})
+        strict = {} if lenient else {"mode": "FAILFAST", "columnPruning": "false"}
+        lines = {"multiLine": str(multi_line).lower()}
+        reader = reader.options(**{**CSV_OPTIONS, **strict, **lines, **dict(options or {})})
         return _read_csv(reader, path, schema, as_list(na_tokens), lenient)
+    if fmt == "json" and not lenient:
+        reader = reader.options(**{"mode": "FAILFAST", **dict(options or {})})
     if schema is not None:
         reader = reader.schema(schema)
     with connector_errors(fmt):
@@ -78,8 +88,6 @@ def read_table(
 
 
 def _read_csv(reader, path: str, schema, tokens: list[str], lenient: bool) -> DataFrame:
-    if schema is None and len(tokens) == 1:
-        return reader.option("inferSchema", "true").option("nullValue", tokens[0]).csv(path)
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
     if schema is None:

@@ -8,9 +8,9 @@ from conftest import rows
 
 
 def test_add_constant_column(scores):
-    df = tf.add_column(scores, "Column_01", "New_Value_01")
-    assert df.columns == [*scores.columns, "Column_01"]
-    assert {r.Column_01 for r in df.collect()} == {"New_Value_01"}
+    df = tf.add_column(scores, "stage", "raw")
+    assert df.columns == [*scores.columns, "stage"]
+    assert {r.stage for r in df.collect()} == {"raw"}
     assert scores.columns == ["Category", "Score", "s", "n"]
 
 
@@ -163,3 +163,9 @@ def test_nan_to_null(spark):
     assert rows(tf.nan_to_null(df)) == [(None, None, 1)]
     assert tf.nan_to_null(df, ["y"]).first().y is None
     assert tf.nan_to_null(df, ["y"]).first().x is not None
+
+
+@pytest.mark.parametrize("value, kind", [(0.5, "decimal(4,0)"), (123456, "decimal(4,0)"), (1e300, "float")])
+def test_fillna_raises_where_a_value_does_not_fit(spark, value, kind):
+    with pytest.raises(ValueError, match="v"):
+        tf.fillna(spark.range(1).selectExpr(f"CAST(NULL AS {kind}) AS v"), value, "v")

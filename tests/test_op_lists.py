@@ -13,7 +13,7 @@ def events(spark):
 
 
 def test_sample_ops_equal_the_calls(events):
-    df = tf.add_column(events, "Column_01", "New_Value_01")
+    df = tf.add_column(events, "stage", "raw")
     df = tf.add_column(df, "Time", "")
     df = tf.groupby_reduce(tf.filter_rows(df, "Score > 10"), "Category", "mean")
     assert sorted(tf.apply_ops(events, SAMPLE_OPS).collect()) == sorted(df.collect())

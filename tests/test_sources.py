@@ -47,7 +47,7 @@ def test_csv_types_as_a_dataframe_reader_finds_them(spark, na_csv):
 
 def test_csv_inference_with_one_token(spark, na_csv):
     df = tf.read_table(spark, na_csv, na_tokens="NA")
-    assert types(df) == ["string", "int", "string", "date"]
+    assert types(df) == ["string", "bigint", "string", "string"]
     assert [r.Score for r in df.orderBy("d").collect()] == [5, 20, None, 30]
 
 
@@ -207,3 +207,19 @@ def test_object_store_uri():
 def test_sink_beside_the_input(scores, tmp_path):
     path = tf.write_table(scores, input_path=str(tmp_path / "file.csv"))
     assert path == str(tmp_path / "file_enriched.csv")
+
+
+@pytest.mark.parametrize("body", ["a,b,c\n1,2,3\n6,7,8,9\n", "a,b,c\n1,2,3\n4,5\n"])
+def test_ragged_csv_fails_unless_lenient(spark, tmp_path, body):
+    (tmp_path / "in.csv").write_text(body)
+    schema = "a int, b int, c int"
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|FAILED_READ"):
+        tf.read_table(spark, str(tmp_path / "in.csv"), "csv", schema).collect()
+    assert tf.read_table(spark, str(tmp_path / "in.csv"), "csv", schema, lenient=True).count() == 2
+
+
+def test_bad_json_fails_unless_lenient(spark, tmp_path):
+    (tmp_path / "in.json").write_text('{"a": 1}\nnot json\n')
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|FAILED_READ"):
+        tf.read_table(spark, str(tmp_path / "in.json"), "json", "a int").collect()
+    assert tf.read_table(spark, str(tmp_path / "in.json"), "json", "a int", lenient=True).count() == 2

@@ -3,6 +3,8 @@ import random
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
+from pyspark.sql import Window
+
 import tabflow as tf
 
 from conftest import rows
@@ -84,3 +86,20 @@ def test_split_frames_with_odd_names(spark):
     out = tf.window(df, "a.b", ["t t"], func="max", col="v", rows=(0, 2), skew=policy)
     assert out.columns == ["a.b", "t t", "v", "max_v"]
     assert [r[3] for r in rows(out)] == [min(i + 2.0, 19.0) for i in range(20)]
+
+
+def test_map_columns_wide_frames_and_reserved_names(spark):
+    df = spark.range(300).selectExpr("id % 2 AS k", "id AS t", "map('a', id) AS m", "id AS v")
+    policy = tf.SkewPolicy(small_bytes=0, hot_rows=20)
+    for frame in ((-500, 500), (-120, -70), (Window.unboundedPreceding, 0)):
+        call = {"func": "count", "col": "m", "alias": "w", "rows": frame}
+        small = tf.window(df, "k", "t", **call).select("t", "w")
+        assert rows(tf.window(df, "k", "t", **call, skew=policy).select("t", "w")) == rows(small)
+    with pytest.raises(ValueError, match="__v"):
+        tf.window(df.withColumnRenamed("v", "__v"), "k", "t", func="sum", col="__v")
+
+
+def test_ties_that_differ_are_cut_apart(spark):
+    df = spark.range(2000).selectExpr("1 AS k", "1 AS t", "id AS v")
+    out = tf.window(df, "k", "t", func="count", col="v", alias="w", skew=tf.SkewPolicy(small_bytes=0, hot_rows=50))
+    assert out.groupBy("w").count().count() == 2  # all rows but the two at the ends see three
