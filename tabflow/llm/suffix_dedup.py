@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tabflow.llm.shared import arrow_schema, column, extend, map_arrow, map_batches, materialise
 
@@ -26,7 +26,9 @@ SHALLOW = 24
 #: Bytes of a text whose anchors are found at a time; places in it must fit in 24 bits.
 CHUNK = 1 << 16
 #: An anchor with more occurrences than this is dealt out string by string.
-HOT = 256
+HOT = 4096
+#: Copies of one context are looked for in so many parts.
+PARTS = 16
 #: Starts of such an anchor that are counted together first.
 RUN = 16
 #: Suffixes sorted together in a task.
@@ -345,14 +347,26 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
         last = first + F.shiftright("place", 10).bitwiseAND(1023)
         return rows.select("id", "th", first.alias("start"), (last + length).alias("stop"))
 
-    unlike = kept.where(~F.col("alike"))
+    # Copies of a context are found in parts first, so that a context that a large
+    # share of all texts has goes on as one row for each part.
+    part = F.pmod(F.xxhash64("id", "th"), F.lit(PARTS))
+    same_part = Window.partitionBy("anchor", "context", "part")
+    unlike = kept.where(~F.col("alike")).withColumn("part", part)
+    unlike = unlike.withColumns(
+        {
+            "nth": F.row_number().over(same_part.orderBy("id", "th", "place")),
+            "many": F.count("*").over(same_part),
+        }
+    )
+    unlike = materialise(unlike)
+    rest = unlike.where("nth = 1")
     contexts = materialise(
-        unlike.groupBy("anchor", "context", "hot").agg(
-            F.count("*").alias("n"), F.min(F.struct("id", "th", "place")).alias("of")
+        rest.groupBy("anchor", "context", "hot").agg(
+            F.sum("many").alias("n"), F.min(F.struct("id", "th", "place")).alias("of")
         )
     )
     copied = contexts.where("n > 1").select("anchor", "context")
-    copies = unlike.join(copied.hint("merge"), ["anchor", "context"])
+    scattered = rest.where("many = 1").join(copied.hint("merge"), ["anchor", "context"])
 
     # One context of each kind is looked up in its text.
     wanted = contexts.groupBy("of.id", "of.th").agg(
@@ -391,7 +405,8 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     cuts = materialise(map_arrow(asked, cut, schema))
     return (
         whole(kept.where("alike"))
-        .unionByName(whole(copies))
+        .unionByName(whole(unlike.where("many > 1")))
+        .unionByName(whole(scattered))
         .unionByName(sort_contexts(cuts.where("NOT hot"), length))
         .unionByName(hot_strings(cuts.where("hot"), length))
     )
