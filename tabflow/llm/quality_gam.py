@@ -129,7 +129,7 @@ def _pair_tree(g: np.ndarray, h: np.ndarray, least: float) -> np.ndarray:
 
 def fit(
     x: np.ndarray, y: np.ndarray, rounds: int = 120, pair_rounds: int = 60, rate: float = 0.15,
-    most_bins: int = 48, pair_bins: int = 8, n_pairs: int = 6, depth: int = 2, least: float = 4.0,
+    most_bins: int = 48, pair_bins: int = 8, n_pairs: int = 6, depth: int = 2, least: float = 0.5,
 ) -> Gam:
     """Learn the tables. No rows give score 0.5, one label alone its smoothed share."""
     n, width = x.shape
@@ -190,6 +190,10 @@ def train(
     order = F.xxhash64(F.col("label_id").cast("string"))
     chosen = labels.select(column(id_col).alias("label_id"), column(label_col).alias("y"))
     chosen = chosen.where("label_id IS NOT NULL AND y IN (0, 1)").distinct()
+    # Thinned out by hash before the sort, to which each task would bring the full number.
+    share = 1.2 * most_rows / max(chosen.count(), 1)
+    if share < 1:
+        chosen = chosen.where(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
     chosen = chosen.orderBy(order, "label_id", "y").limit(most_rows)
     rows = df.select(column(id_col).alias("id"), column(text_col).alias("text"))
     rows = rows.join(F.broadcast(chosen), F.col("id") == F.col("label_id"))
