@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import types as T
 
 from ..functions.aggregate_functions import WINDOWED, aggregate, check_function
 from ..functions.expressions import as_list, check_unique, column, group_struct, hashable
@@ -18,6 +19,9 @@ from ..functions.skew import (
     with_range_bucket,
 )
 
+#: A frame's end from here on has no bound.
+NO_BOUND = Window.unboundedFollowing
+
 
 def window(
     df: DataFrame,
@@ -34,8 +38,9 @@ def window(
 
     ``order_by`` should be unique within a partition: Spark orders tied rows
     arbitrarily, and only a total order can be cut anywhere. Partitions too
-    large for one task are cut into blocks, see :func:`_split_frames`; frames
-    without an end on one side are not, and need a partition to fit in a task.
+    large for one task are cut into blocks, see :func:`_split_frames` and
+    :func:`_split_open_frames`. Only sums and means of decimals whose sum has 38
+    digits are not, in frames without an end: adding partial sums could round them.
     Column names that begin with two underscores raise.
     """
     check_function(func, WINDOWED)
@@ -54,8 +59,8 @@ def window(
     reserved = [c for c in (*df.columns, alias) if c.startswith("__")]
     if reserved:
         raise ValueError(f"Reserved column names: {reserved}")
-    unbounded = low <= Window.unboundedPreceding or high >= Window.unboundedFollowing
-    if unbounded or fits(df, skew.small_bytes):
+    unbounded = low <= -NO_BOUND or high >= NO_BOUND
+    if fits(df, skew.small_bytes) or unbounded and not _adds_exactly(df, func, col):
         return df.withColumn(alias, result.over(plain))
 
     grouped = df.withColumn("__g", group_struct(parts))
@@ -64,7 +69,15 @@ def window(
     tie = F.xxhash64(*hashable(df)) if hashable(df) else F.lit(0)
 
     def split(rows: DataFrame) -> DataFrame:
-        framed = _split_frames(rows, sort, tie, result, alias, low, high, skew)
+        if low <= -NO_BOUND and high >= NO_BOUND:
+            totals = rows.groupBy("__g").agg(result.alias(alias))
+            return rows.join(totals, "__g").select(*output)
+        placed = _placed(rows, sort, tie, skew)
+        if unbounded:
+            kind = df.select(result.alias(alias)).schema[0].dataType
+            framed = _split_open_frames(placed, func, column(col), kind, alias, low, high)
+        else:
+            framed = _split_frames(placed, result, alias, low, high)
         return framed.select(*output)
 
     if not parts:
@@ -74,34 +87,40 @@ def window(
     return whole.select(*output).union(split(grouped.join(hot, "__g")))
 
 
-def _split_frames(
-    rows: DataFrame,
-    sort: list[Column],
-    tie: Column,
-    result: Column,
-    alias: str,
-    low: int,
-    high: int,
-    skew: SkewPolicy,
-) -> DataFrame:
-    """The frame aggregate for hot partitions, each cut into blocks of rows.
+def _adds_exactly(df: DataFrame, func: str, col: str) -> bool:
+    """Whether the sums of two parts of ``col`` can be added without rounding."""
+    if func not in ("sum", "mean", "avg"):
+        return True
+    kind = df.select(F.sum(column(col)).alias("s")).schema[0].dataType
+    return not (isinstance(kind, T.DecimalType) and kind.precision == 38)
+
 
-    Every row first gets its position in its partition, from the row counts of
-    the ranges before its own. Blocks of ``__unit`` positions are then windowed
-    apart; a row is copied to the blocks in whose frames it takes part, and each
-    block returns only its own rows. Tied rows are told apart by ``tie``, a hash of
-    the row; only rows equal in all columns can't be cut apart.
+def _placed(rows: DataFrame, sort: list[Column], tie: Column, skew: SkewPolicy) -> DataFrame:
+    """Add each row's position in its partition, ``__pos``, and the partition's
+    ``__total``, from the row counts of the ranges before its own. Tied rows are told
+    apart by ``tie``, a hash of the row; only rows equal in all columns can't be cut
+    apart.
     """
     keys = {f"__o{i}": s for i, s in enumerate(sort)} | {"__o": tie}
     names = [F.col(k) for k in keys]
     bucketed = with_range_bucket(rows.withColumns(keys), names, skew)
     nth = F.row_number().over(Window.partitionBy("__g", "__bucket").orderBy(*names))
-    placed = (
+    return (
         bucketed.withColumn("__nth", nth)
         .join(bucket_starts(bucketed), ["__g", "__bucket"])
         .withColumn("__pos", F.col("__start") + F.col("__nth") - 1)
         .drop("__bucket", "__nth", "__start", *keys)
     )
+
+
+def _split_frames(
+    placed: DataFrame, result: Column, alias: str, low: int, high: int
+) -> DataFrame:
+    """The frame aggregate for hot partitions, each cut into blocks of rows.
+
+    Blocks of ``__unit`` positions are windowed apart; a row is copied to the
+    blocks in whose frames it takes part, and each block returns only its own rows.
+    """
     before, after = max(high, 0), max(-low, 0)
     # No further than the partition's first and last block, however wide the frame is.
     first = F.expr(f"greatest(0L, __pos - {before}L) div __unit")
@@ -109,3 +128,59 @@ def _split_frames(
     copied = placed.withColumn("__block", F.explode(F.sequence(first, last)))
     frame = Window.partitionBy("__g", "__block").orderBy("__pos").rowsBetween(low, high)
     return copied.withColumn(alias, result.over(frame)).where("__block = __pos div __unit")
+
+
+def _split_open_frames(
+    placed: DataFrame, func: str, value: Column, kind: T.DataType, alias: str, low: int, high: int
+) -> DataFrame:
+    """Frames from a partition's first row on, or up to its last, for hot partitions.
+
+    A block's own window starts at the block, or, for frames that end before their
+    row, so many whole blocks earlier that it reaches their end. What lies before it
+    is the aggregate of whole blocks, one row for each, which is joined and added.
+    """
+    if high >= NO_BOUND:  # the same from the other side
+        placed = placed.withColumn("__pos", F.col("__total") - 1 - F.col("__pos"))
+        high = -low
+    if func in ("mean", "avg"):
+        parts = {"__a": "sum", "__n": "count"}
+        if isinstance(kind, T.DoubleType):
+            value = value.cast("double")
+    else:
+        parts = {"__a": func}
+    merge = {"__a": "sum" if func in ("count", "mean", "avg") else func, "__n": "sum"}
+
+    cut = placed.withColumns(
+        {
+            "__own": F.expr("__pos div __unit"),
+            "__back": F.expr(f"({max(-high, 0)}L + __unit - 1) div __unit"),
+        }
+    )
+    first = F.expr(f"greatest(0L, __pos - {max(high, 0)}L) div __unit")
+    last = F.expr("least((__total - 1) div __unit, __own + __back)")
+    copied = cut.withColumn("__block", F.explode(F.sequence(first, last)))
+    frame = Window.partitionBy("__g", "__block").orderBy("__pos")
+    frame = frame.rowsBetween(Window.unboundedPreceding, high)
+    near = copied.withColumns({c: aggregate(f, value).over(frame) for c, f in parts.items()})
+    near = near.where("__block = __own")
+
+    blocks = cut.groupBy("__g", "__own", "__back").agg(
+        *[aggregate(f, value).alias(c) for c, f in parts.items()]
+    )
+    before = Window.partitionBy("__g").orderBy("__own").rowsBetween(Window.unboundedPreceding, -1)
+    far = blocks.select(
+        "__g",
+        (F.col("__own") + F.col("__back")).alias("__block"),
+        *[aggregate(merge[c], F.col(c)).over(before).alias(f"__far{c}") for c in parts],
+    )
+
+    def total(c: str) -> Column:
+        a, b = F.col(c), F.col(f"__far{c}")
+        if merge[c] in ("min", "max"):
+            return (F.least if merge[c] == "min" else F.greatest)(a, b)
+        return F.coalesce(a + b.cast(near.schema[c].dataType), a, b)
+
+    found = total("__a")
+    if "__n" in parts:
+        found = F.when(total("__n") > 0, found / total("__n"))
+    return near.join(far, ["__g", "__block"], "left").withColumn(alias, found.cast(kind))

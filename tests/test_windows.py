@@ -55,6 +55,44 @@ def test_split_frames_by_brute_force(spark, seed, size, func, low, width):
         assert g == pytest.approx(e)
 
 
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    st.integers(0, 2**32),
+    st.integers(1, 300),
+    st.sampled_from(["sum", "mean", "count", "min", "max"]),
+    st.sampled_from([0, 0, 1, -1, 7, -7, 40, -40, 1000, -1000, None]),
+    st.booleans(),
+)
+def test_split_open_frames_by_brute_force(spark, seed, size, func, end, flip):
+    rng = random.Random(seed)
+    data = [
+        (rng.choice(["hot", "hot", None, "a", "b"]), t, rng.choice([None, *range(50)]))
+        for t in rng.sample(range(10 * size), size)
+    ]
+    df = spark.createDataFrame(data, "k string, t int, v bigint").repartition(4)
+    policy = tf.SkewPolicy(small_bytes=0, hot_rows=rng.choice([1, 4, 30]), max_hot=64)
+    low, high = Window.unboundedPreceding, Window.unboundedFollowing
+    if end is not None:
+        low, high = (end, high) if flip else (low, end)
+    out = tf.window(df, "k", "t", func=func, col="v", alias="w", rows=(low, high), skew=policy)
+    expected = sorted(brute(data, func, max(low, -5000), min(high, 5000)), key=lambda r: r[1])
+    got = sorted(map(tuple, out.collect()), key=lambda r: r[1])
+    assert len(got) == len(expected)
+    for g, e in zip(got, expected):
+        assert g == pytest.approx(e)
+
+
+def test_open_frames_have_the_plain_type(spark):
+    df = spark.range(200).selectExpr("id % 2 AS k", "id AS t", "CAST(id AS DECIMAL(9,2)) AS d", "CAST(id AS FLOAT) AS f")
+    policy = tf.SkewPolicy(small_bytes=0, hot_rows=20)
+    for col in ("d", "f", "t"):
+        for func in ("sum", "mean", "max", "count"):
+            call = {"func": func, "col": col, "alias": "w", "rows": (Window.unboundedPreceding, -3)}
+            small, large = tf.window(df, "k", "t", **call), tf.window(df, "k", "t", **call, skew=policy)
+            assert small.schema["w"].dataType == large.schema["w"].dataType
+            assert rows(small.select("t", "w")) == rows(large.select("t", "w"))
+
+
 def test_default_frame_and_name(spark):
     df = spark.createDataFrame([(1, i, float(i)) for i in range(4)], "k int, t int, v double")
     out = tf.window(df, ["k"], ["t"], func="mean", col="v")
