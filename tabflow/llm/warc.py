@@ -254,7 +254,12 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                         [pa.array(c, f.type) for c, f in zip(zip(*held), kind)], schema=kind
                     )
 
-    return map_arrow(manifest.select("path", "records").repartition("path"), run, schema)
+    # A number of partitions is asked for, since adaptive execution would merge the few
+    # bytes of a manifest, and one task would read all archives.
+    conf = manifest.sparkSession.conf
+    tasks = conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    tasks = int(tasks or conf.get("spark.sql.shuffle.partitions"))
+    return map_arrow(manifest.select("path", "records").repartition(tasks, "path"), run, schema)
 
 
 def archive_pages(
