@@ -227,6 +227,22 @@ def test_attention_scores_each_place_once_and_sums_to_one():
     assert np.allclose(a[0, : lm.T // 2], b[0, : lm.T // 2], atol=1e-5)
 
 
+def test_classes_tell_company_and_place_in_a_word():
+    counts = np.array([*range(4000, 3000, -1), *[0] * 50, 7])
+    begins = np.arange(1050) % 2 == 0
+    near = np.full((lm.GROUPED, lm.NEAR), 1.0)
+    for k in range(1000):  # two languages, of which subwords meet their own only
+        near[k, k // 2 % 2 :: 2] = 40
+    classes, shares, per_class = lm.classes_of(counts, near, begins)
+    assert per_class.sum() == counts.sum() and classes[-1] == lm.CLASSES - 1
+    assert np.allclose(np.bincount(classes, 10**shares)[np.unique(classes)], 1)
+    for c in range(lm.SINGLE, lm.CLASSES - 1):
+        held = np.flatnonzero(classes[:1000] == c)
+        assert len(set(held % 2)) <= 1 and len(set(held // 2 % 2)) <= 1
+    blank = lm.classes_of(counts * 0, near * 0, begins)
+    assert np.isfinite(blank[1]).all()
+
+
 def test_packing(spark, odd, empty):
     r = random.Random(6)
     rows = [(k, r.choice([1, 7, 100, 511, 513, 900, 4096, 5000, 9000])) for k in range(500)] + [(500, None), (501, 0), (None, 3)]
