@@ -31,22 +31,39 @@ def split_pattern(pattern: str) -> regex.Pattern:
     return regex.compile(inside.replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]"))
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+
+@lru_cache(maxsize=4)
+def tokens_of(path: str) -> list[bytes]:
+    """The bytes of each id of a rank file, which is all that decoding takes."""
+    ranks = read_ranks(path)
+    tokens = [b""] * (1 + max(ranks.values()))
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return tokens
+
+
+def decode_ids(tokens: list[bytes], packed: bytes) -> bytes:
+    """The bytes that packed ids stand for; an unknown id raises."""
+    return b"".join(map(tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+
+
 class Codec(dict):
-    """Encoder and decoder for one rank file; as a dict, the memo of encoded pieces.
+    """Encoder for one rank file; as a dict, the memo of encoded pieces.
 
     ``codec[piece]`` is the packed ids of a piece of text.
     """
 
-    #: Pieces kept in the memo, and the longest of them.
-    KEEP, KEEP_LENGTH = 600_000, 64
+    #: Pieces kept in the memo, the longest of them, and pairs of tokens kept.
+    KEEP, KEEP_LENGTH, KEEP_PAIRS = 200_000, 64, 300_000
 
     def __init__(self, path: str, pattern: str):
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.ranks = read_ranks(path)
         self.findall = split_pattern(pattern).findall
-        self.tokens = [b""] * (1 + max(self.ranks.values()))
-        for token, rank in self.ranks.items():
-            self.tokens[rank] = token
+        self.tokens = tokens_of(path)
         self.lengths = list(map(len, self.tokens))
         self.pairs: dict[tuple[int, int], bool] = {}
         # The two tokens that merge last into a token; single bytes are their own halves.
@@ -83,7 +100,7 @@ class Codec(dict):
         """
         found = self.pairs.get((left, right))
         if found is None:
-            if len(self.pairs) >= 1_000_000:
+            if len(self.pairs) >= self.KEEP_PAIRS:
                 self.pairs.clear()
             found = self.pairs[left, right] = self._apart(left, right)
         return found
@@ -147,11 +164,6 @@ class Codec(dict):
         """Token ids of a text as little-endian unsigned 32-bit integers."""
         return b"".join(map(self.__getitem__, self.findall(text)))
 
-    def decode(self, packed: bytes) -> bytes:
-        """The bytes that packed ids stand for; an unknown id raises."""
-        tokens = self.tokens
-        return b"".join(map(tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
-
 
 @lru_cache(maxsize=4)
 def codec(path: str, pattern: str) -> Codec:
@@ -184,7 +196,7 @@ def bpe_encode(
     return map_batches(picked, encode, f"id {kind}, n_tokens bigint, ids binary")
 
 
-def bpe_decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
+def bpe_decode(df: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
     """``df`` with a column ``decoded`` (binary): the bytes that its packed ids stand for.
 
     Null ids give null, no ids the empty string; an id that is not in the rank
@@ -193,8 +205,8 @@ def bpe_decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids
 
     @F.pandas_udf("binary")
     def decode(ids):
-        coder = codec(ranks_path, pattern)
-        return ids.map(lambda x: None if x is None else coder.decode(x))
+        tokens = tokens_of(ranks_path)
+        return ids.map(lambda x: None if x is None else decode_ids(tokens, x))
 
     ship(df.sparkSession.sparkContext)
     return df.withColumn("decoded", decode(column(ids_col)))

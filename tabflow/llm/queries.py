@@ -28,7 +28,7 @@ def held_out(of: int, fold: int):
 def op1_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
     encoded = bpe.bpe_encode(table(spark, folder, "documents"), path, pattern)
-    return bpe.bpe_decode(encoded, path, pattern).select(
+    return bpe.bpe_decode(encoded, path).select(
         F.col("id").alias("doc_id"),
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
