@@ -17,7 +17,7 @@ from tabflow.llm.shared import column, materialise
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "[#*$%&|<>]"
 GRAM = 8
-#: Measures for which more is worse, as shares of a text's words or characters.
+#: Measures for which more is worse, as shares of a text's words, lines or characters.
 MEASURES = ("symbol_share", "dup_line_share", "repeat_share", "word_length")
 #: Relative width of a bucket, and what counts as zero.
 WIDTH, TINY = 1.02, 1e-6
@@ -70,7 +70,8 @@ def measure(
     source_col: str = "source",
 ) -> DataFrame:
     """``id``, ``lang``, ``source``, ``n_words``, ``word_chars``, ``n_symbols``,
-    ``n_dup_lines``, ``n_repeat_words`` of each whole text; a null text has no words.
+    ``n_lines`` (not blank), ``n_dup_lines``, ``n_repeat_words`` of each whole text; a
+    null text has no words.
 
     A window's words are compared by a 64-bit hash within one text. Narrow: one scan.
     """
@@ -90,6 +91,7 @@ def measure(
         F.size("words").cast("bigint").alias("n_words"),
         F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
+        F.size(lines).cast("bigint").alias("n_lines"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
         repeat_words(F.col("words")).alias("n_repeat_words"),
     )
@@ -97,11 +99,11 @@ def measure(
 
 def shares(measured: DataFrame) -> DataFrame:
     """The measures that limits are set for, next to the counts."""
-    chars, words = F.greatest("word_chars", F.lit(1)), F.greatest("n_words", F.lit(1))
+    chars, words, lines = (F.greatest(c, F.lit(1)) for c in ("word_chars", "n_words", "n_lines"))
     return measured.withColumns(
         {
             "symbol_share": F.col("n_symbols") / chars,
-            "dup_line_share": F.col("n_dup_lines") / words,
+            "dup_line_share": F.col("n_dup_lines") / lines,
             "repeat_share": F.col("n_repeat_words") / words,
             "word_length": F.col("word_chars") / words,
         }
@@ -183,9 +185,11 @@ def limits(
 SLACK = {
     "symbol_share": (2.0, 0.01),
     "dup_line_share": (2.0, 0.1),
-    "repeat_share": (1.5, 0.3),
+    "repeat_share": (1.5, 0.1),
     "word_length": (1.5, 0.0),
 }
+#: Counts up to which a measure rejects nothing: one repeated line, of 20 words at most.
+ALLOWED = {"dup_line_share": ("n_dup_lines", 1), "repeat_share": ("n_repeat_words", 40)}
 
 
 def adaptive_quality(
@@ -204,7 +208,8 @@ def adaptive_quality(
 
     Returns ``id``, the counts of :func:`measure`, ``base_failed`` (fewer words than
     ``least_words``, or more than ``most_repeated`` of 100 words repeated) and
-    ``kept``: not failed, and no measure above its limit. Null texts fail. Null
+    ``kept``: not failed, and no measure above its limit (of repetition only from a
+    least count on, ``ALLOWED``). Null texts fail. Null
     languages and sources are keys like others. The measures are written to shared
     storage once; the join with the limits is on narrow rows, of which adaptive
     execution splits those of a hot source.
@@ -217,7 +222,8 @@ def adaptive_quality(
     )
     over = F.lit(False)
     for m in MEASURES:
-        over = over | (F.col(m) > F.col(f"{m}_limit"))
+        count, allowed = ALLOWED.get(m, ("n_words", 0))
+        over = over | ((F.col(m) > F.col(f"{m}_limit")) & (F.col(count) > allowed))
     joined = shared.join(
         bounds, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))
     )

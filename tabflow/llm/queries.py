@@ -100,13 +100,14 @@ def op8_attention_lm(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
-    """Lengths in words, and one for the end of each document that has words."""
+    """Lengths in words, and one for the end of each document, also of one without words."""
     return packing.pack(sized(table(spark, folder, "documents"))).withColumnRenamed("id", "doc_id")
 
 
 def sized(documents: DataFrame) -> DataFrame:
-    words = F.size(F.filter(F.split("text", adaptive_rules.SPACE), lambda w: w != ""))
-    return documents.select("doc_id", F.when(words > 0, words + 1).alias("n_tokens"))
+    text = F.coalesce("text", F.lit(""))
+    words = F.size(F.filter(F.split(text, adaptive_rules.SPACE), lambda w: w != ""))
+    return documents.select("doc_id", (words + 1).alias("n_tokens"))
 
 
 def op10_adaptive_rules(spark: SparkSession, folder: str) -> DataFrame:

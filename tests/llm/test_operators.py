@@ -290,3 +290,20 @@ def test_rules_by_brute_force(spark, odd, empty):
     sketch = adaptive_rules.sketches(spark.range(1, 1001).selectExpr("'k' AS g", *[f"id / 10 AS {m}" for m in adaptive_rules.MEASURES]), "g")
     for r in adaptive_rules.quantile(sketch, 0.75, "g").collect():
         assert r.rows == 1000 and 75 <= r.q <= 75 * adaptive_rules.WIDTH * 1.001
+
+
+def test_adaptive_limits_reject_repetition_under_the_fixed_cutoff(spark):
+    def lines(seed, n):
+        words = long_text(seed, 12 * n).split()
+        return [" ".join(words[12 * k : 12 * k + 12]) for k in range(n)]
+
+    rows = [(k, "\n".join(lines(k, 20))) for k in range(300)]
+    # A quarter of the lines again, one line again in a short text, a quarter of the words again inside lines.
+    again, once = lines(1000, 24), lines(1001, 10)
+    rows += [(1000, "\n".join(again + again[:3])), (1001, "\n".join(once + once[:1]))]
+    many = lines(1002, 40)
+    rows.append((1002, "\n".join(many + [f"x{k} {a} y{k} {b}" for k, (a, b) in enumerate(zip(many[:6:2], many[1:6:2]))])))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'en' AS lang", "'a' AS source")
+    found = {r.id: r for r in adaptive_rules.adaptive_quality(df).collect()}
+    assert not any(r.base_failed for r in found.values())
+    assert {k for k, r in found.items() if not r.kept} == {1000, 1002}
