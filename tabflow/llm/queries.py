@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabflow.llm import (
-    adaptive_rules, bpe, embedding_dedup, langid, lm, packing, quality_gam, simhash_dedup,
-    suffix_dedup, warc,
+    adaptive_rules, bpe, embedding_dedup, langid, lexical_search, lm, merge_automaton, packing,
+    quality_gam, simhash_dedup, suffix_dedup, warc,
 )
 from tabflow.llm.shared import crc_of_id
 
@@ -115,11 +115,29 @@ def op10_adaptive_rules(spark: SparkSession, folder: str) -> DataFrame:
     return verdicts.withColumnRenamed("id", "doc_id")
 
 
+def op12_merge_automaton(spark: SparkSession, folder: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    encoded = merge_automaton.automaton_encode(table(spark, folder, "documents"), path, pattern)
+    return merge_automaton.automaton_decode(encoded, path).select(
+        F.col("id").alias("doc_id"),
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 50 best documents of each benchmark item."""
+    found = lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_byte_bpe, op2_language_id, op3_suffix_dedup, op4_warc, op5_embedding_dedup,
         op6_quality_gam, op7_simhash, op8_attention_lm, op9_packing, op10_adaptive_rules,
+        op12_merge_automaton, op13_lexical_search,
     )
 }
 
@@ -130,4 +148,21 @@ SQL: dict[str, str] = {
         SELECT page_id, payload_bytes, payload_digest,
           CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
           CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to FROM m""",
+    "op13_lexical_search": r"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+        t AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
+        d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM t GROUP BY doc_id),
+        a AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM d),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        f AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+        p AS (SELECT doc_id, term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)))::BIGINT
+            * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * nn) // ll)))) AS part
+            FROM t JOIN d USING (doc_id) JOIN f USING (term), a),
+        s AS (SELECT item_id, doc_id, sum(part)::BIGINT AS score FROM q JOIN p USING (term) GROUP BY ALL),
+        r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT
+            AS rank, doc_id, score FROM s WHERE score > 0)
+        SELECT * FROM r WHERE rank <= 50""",
 }
