@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabflow.llm import (
-    adaptive_rules, bpe, embedding_dedup, langid, lexical_search, lm, merge_automaton, packing,
-    quality_gam, simhash_dedup, suffix_dedup, warc,
+    adaptive_rules, bpe, conversation_repair, embedding_dedup, langid, lexical_search, lm,
+    merge_automaton, packing, quality_gam, simhash_dedup, suffix_dedup, warc,
 )
 from tabflow.llm.shared import crc_of_id
 
@@ -115,6 +115,13 @@ def op10_adaptive_rules(spark: SparkSession, folder: str) -> DataFrame:
     return verdicts.withColumnRenamed("id", "doc_id")
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations with planted faults, repaired."""
+    damaged = conversation_repair.damage(table(spark, folder, "conversations"))
+    parts = conversation_repair.repair(damaged, copies_col="copies")
+    return conversation_repair.digests(parts).withColumnRenamed("id", "conv_id")
+
+
 def op12_merge_automaton(spark: SparkSession, folder: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
     encoded = merge_automaton.automaton_encode(table(spark, folder, "documents"), path, pattern)
@@ -137,7 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_byte_bpe, op2_language_id, op3_suffix_dedup, op4_warc, op5_embedding_dedup,
         op6_quality_gam, op7_simhash, op8_attention_lm, op9_packing, op10_adaptive_rules,
-        op12_merge_automaton, op13_lexical_search,
+        op11_conversation_repair, op12_merge_automaton, op13_lexical_search,
     )
 }
 
