@@ -19,21 +19,19 @@ lead to the word's end are the result. Decoding emits the labels of the arcs.
 from __future__ import annotations
 
 import json
-import sys
 from array import array
 from bisect import bisect_left, bisect_right
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from tabflow.llm.bpe import split_pattern
-from tabflow.llm.shared import column, map_batches, ship
+from tabflow.llm.shared import arrow_schema, column, extend, map_batches
 
-#: Whether arrays of unsigned 32-bit integers are already as packed ids are.
-LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 def byte_letters() -> dict[str, int]:
     """The visible character that byte-level files write for each byte: printable
@@ -59,11 +57,7 @@ class Merges:
         if any(t[k] for t in whole["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
             raise ValueError(f"{path}: added tokens that take their surroundings are not supported")
         self.added = added
-        self.labels = [b""] * (1 + max([*vocab.values(), *added.values()]))
-        for token, k in vocab.items():
-            self.labels[k] = bytes(map(letters.__getitem__, token))
-        for token, k in added.items():
-            self.labels[k] = token.encode()
+        self.labels = read_labels(path)
         pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
         self.rules = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
         self.letters = [vocab.get(c) for c, _ in sorted(letters.items(), key=lambda x: x[1])]
@@ -76,6 +70,20 @@ class Merges:
             known.add(w)
 
 
+def read_labels(path: str) -> list[bytes]:
+    """The label of each id."""
+    with open(path, encoding="utf-8") as file:
+        whole = json.load(file)
+    letters, added = byte_letters(), {t["content"]: t["id"] for t in whole["added_tokens"]}
+    vocab = whole["model"]["vocab"]
+    found = [b""] * (1 + max([*vocab.values(), *added.values()]))
+    for token, k in vocab.items():
+        found[k] = bytes(map(letters.__getitem__, token))
+    for token, k in added.items():
+        found[k] = token.encode()
+    return found
+
+
 class Automaton:
     """The compiled automaton: ``state_of`` a token's arc leads to, and for each state
     the first and last numbers of the ranges of arcs that it lacks."""
@@ -173,93 +181,192 @@ class Automaton:
                         self.token_at.append(-1)
                 self.token_at[node] = token
         self.inner = {key >> 8 for key in self.step}
-        self.lengths = list(map(len, merges.labels))
+        self.lengths = np.array(list(map(len, merges.labels)), np.int64)
         self.forget()
 
-    #: Entries of the byte table at which it is begun anew.
-    KEEP_STEPS = 600_000
+    #: Entries of the byte table at which it is begun anew, and its places at first.
+    KEEP_STEPS, PLACES = 400_000, 1 << 20
+    #: Bytes from which a word is followed on its own.
+    LONG = 64
 
     def forget(self) -> None:
-        """An empty table, with the row at which a word begins."""
-        self.table: dict[int, int] = {}
-        self.row_of: dict[tuple, int] = {(0, ()): 0}
-        self.rows: list[tuple] = [(0, ())]
+        """An empty table, with the row at which a word begins. It is open hashing in two
+        arrays: keys (a row and a byte) and entries (the next row, and a token)."""
+        self.places = self.PLACES
+        self.keys = np.full(self.places, -1, np.int64)
+        self.entries = np.full(self.places, -1, np.int64)
+        begin = array("Q", [0]).tobytes()
+        self.row_of, self.rows, self.steps = {begin: 0}, [begin], 0
 
     def follow(self, key: int) -> int:
-        """The table's entry for a row and a byte: the row after it, times 2**32, and the
+        """A new entry of the table: the row after a row and a byte, times 2**32, and the
         token that ends there. A row stands for a state reached and the arcs begun before:
         the states they leave and how far their bytes have come."""
-        state, begun = self.rows[key >> 8]
-        byte, found, on, step, inner = key & 255, -1, [], self.step.get, self.inner
-        for start, node in (*begun, (state, 0)):
-            node = step(node << 8 | byte)
+        before = array("Q")
+        before.frombytes(self.rows[key >> 8])
+        byte, found, on, step, inner = key & 255, -1, array("Q", [0]), self.step.get, self.inner
+        for x in (*before[1:], before[0] << 32):
+            start, node = x >> 32, step((x & 0xFFFFFFFF) << 8 | byte)
             if node is not None:
                 token = self.token_at[node]
                 if token >= 0:
                     arc, low = self.number[token], self.bounds[start]
-                    x = bisect_right(self.starts, arc, low, self.bounds[start + 1]) - 1
-                    if x < low or arc >= self.ends[x]:
+                    k = bisect_right(self.starts, arc, low, self.bounds[start + 1]) - 1
+                    if k < low or arc >= self.ends[k]:
                         found = token
                 if node in inner:
-                    on.append((start, node))
-        after = (self.state_of[found], tuple(on))
+                    on.append(start << 32 | node)
+        on[0] = self.state_of[found]
+        after = on.tobytes()
         row = self.row_of.setdefault(after, len(self.rows))
         if row == len(self.rows):
             self.rows.append(after)
-        entry = self.table[key] = row << 32 | found
+        entry = row << 32 | found
+        self.steps += 1
+        if 2 * self.steps > self.places:
+            # More than half full within one call of encode, which needs all of its entries.
+            old = self.keys[self.keys >= 0], self.entries[self.keys >= 0]
+            self.places *= 2
+            self.keys = np.full(self.places, -1, np.int64)
+            self.entries = np.full(self.places, -1, np.int64)
+            for k, e in zip(*map(np.ndarray.tolist, old)):
+                place = self.place(k)
+                self.keys[place], self.entries[place] = k, e
+        place = self.place(key)
+        self.keys[place], self.entries[place] = key, entry
         return entry
 
-    def encode(self, word: bytes) -> bytes:
-        """The tokens of the only path that spells ``word``, packed."""
-        if len(self.table) > self.KEEP_STEPS:
+    def place(self, key: int) -> int:
+        """Where a key is, or may be put."""
+        at = ((key * self.SPREAD & (1 << 64) - 1) >> 32) % self.places
+        while self.keys[at] not in (key, -1):
+            at = (at + 1) % self.places
+        return at
+
+    #: An odd number of 64 bits, by which keys are spread over the places.
+    SPREAD = 0x9E3779B97F4A7C15
+
+    def look_up(self, keys: np.ndarray) -> np.ndarray:
+        """The entries of keys; those that are new are worked out."""
+        at = (keys.astype(np.uint64) * np.uint64(self.SPREAD) >> np.uint64(32)).astype(np.int64) % self.places
+        there = self.keys[at]
+        wrong = np.flatnonzero((there != keys) & (there != -1))
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) % self.places
+            there[wrong] = self.keys[at[wrong]]
+            wrong = wrong[(there[wrong] != keys[wrong]) & (there[wrong] != -1)]
+        out = self.entries[at]
+        new = np.flatnonzero(there == -1)
+        if len(new):
+            distinct, of = np.unique(keys[new], return_inverse=True)
+            out[new] = np.array([self.follow(key) for key in distinct.tolist()])[of]
+        return out
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """For each word the tokens of the only path that spells it: their number, and all
+        of them one word after the other. The words are followed side by side."""
+        if self.steps > self.KEEP_STEPS:
             self.forget()
-        get, at, passed = self.table.get, 0, []
-        for byte in word:
-            entry = get(at | byte)
-            if entry is None:
-                entry = self.follow(at | byte)
-            passed.append(entry)
-            at = entry >> 32 << 8
-        out, place, lengths = [], len(word), self.lengths
-        while place:
-            token = passed[place - 1] & 0xFFFFFFFF
-            out.append(token)
-            place -= lengths[token]
-        out.reverse()
-        return array("I", out).tobytes() if LITTLE else np.array(out, "<u4").tobytes()
-
-
-class Encoder(dict):
-    """The automaton of a tokenizer file; as a dict, the memo of encoded words."""
-
-    #: Words kept in the memo, and the longest of them.
-    KEEP, KEEP_LENGTH = 300_000, 64
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        text = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        into = np.zeros(len(text), np.int64)  # the token that ends at each byte
+        order = np.argsort(-sizes, kind="stable")
+        order = order[np.count_nonzero(sizes > self.LONG) :]
+        rows, k = np.zeros(len(order), np.int64), 0
+        while len(order := order[: np.count_nonzero(sizes[order] > k)]):
+            at = starts[order] + k
+            entries = self.look_up(rows[: len(order)] << 8 | text[at])
+            into[at], rows, k = entries & 0xFFFFFFFF, entries >> 32, k + 1
+        for word in np.flatnonzero(sizes > self.LONG).tolist():
+            row = 0
+            for at, byte in enumerate(words[word], int(starts[word])):
+                key = row << 8 | byte
+                place = self.place(key)
+                entry = int(self.entries[place]) if self.keys[place] == key else self.follow(key)
+                into[at], row = entry & 0xFFFFFFFF, entry >> 32
+                if self.steps > self.KEEP_STEPS:
+                    state = self.rows[row]  # the word goes on from here in a new table
+                    self.forget()
+                    row = self.row_of.setdefault(state, len(self.rows))
+                    if row:
+                        self.rows.append(state)
+        # Back from the end of each word, token by token.
+        ends = np.zeros(len(text), bool)
+        place = (starts + sizes)[sizes > 0] - 1
+        first = starts[sizes > 0]
+        while len(place):
+            ends[place] = True
+            place = place - self.lengths[into[place]]
+            place, first = place[place >= first], first[place >= first]
+        counts = np.add.reduceat(np.append(ends, False), starts) if len(words) else np.zeros(0, np.int64)
+        return np.where(sizes > 0, counts, 0), into[ends].astype("<u4")
+
+
+class Encoder:
+    """The automaton of a tokenizer file, with a memo of encoded words."""
+
+    #: Words in the memo at which it is begun anew, and characters encoded at a time.
+    KEEP, PIECE = 200_000, 1 << 20
 
     def __init__(self, path: str, pattern: str):
         merges = Merges(path)
         self.automaton = Automaton(merges)
         self.findall = split_pattern(pattern).findall
-        added = sorted(merges.added, key=len, reverse=True)
-        self.added = {t: np.array([merges.added[t]], "<u4").tobytes() for t in added}
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
-
-    def __missing__(self, word: str) -> bytes:
-        packed = self.automaton.encode(word.encode())
-        if len(word) <= self.KEEP_LENGTH:
-            if len(self) >= self.KEEP:
-                self.clear()
-            self[word] = packed
-        return packed
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian unsigned 32-bit integers."""
+        self.added = {t: merges.added[t] for t in sorted(merges.added, key=len, reverse=True)}
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
+        self.forget()
+
+    def forget(self) -> None:
+        """An empty memo: the number of each word, and of the words by number their tokens."""
+        self.word: dict[str, int] = {}
+        self.counts, self.tokens = np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def words(self, text: str) -> list[str]:
         if self.cut and any(t in text for t in self.added):
-            parts = self.cut.split(text)
-            return b"".join(
-                self.added[part] if k % 2 else b"".join(map(self.__getitem__, self.findall(part)))
-                for k, part in enumerate(parts)
-            )
-        return b"".join(map(self.__getitem__, self.findall(text)))
+            parts = self.cut.split(text)  # at odd places added tokens, marked as no word can be
+            return [w for k, x in enumerate(parts) for w in (["\0" + x] if k % 2 else self.findall(x))]
+        return self.findall(text)
+
+    def learn(self, words: list[str]) -> None:
+        """Put new words into the memo."""
+        marked = [w for w in words if w[1:] in self.added and w[0] == "\0"]
+        plain = [w for w in words if not (w[1:] in self.added and w[0] == "\0")] if marked else words
+        counts, tokens = self.automaton.encode([w.encode() for w in plain])
+        own = np.array([self.added[w[1:]] for w in marked], "<u4")
+        self.word |= {w: k for k, w in enumerate([*plain, *marked], len(self.word))}
+        self.counts = np.concatenate([self.counts, counts, np.ones(len(own), np.int64)])
+        self.tokens = np.concatenate([self.tokens, tokens, own])
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """For each text its number of ids, and all ids one text after the other."""
+        done, some, size = [], [], 0
+        for text in texts:
+            some.append(text)
+            size += len(text)
+            if size > self.PIECE:
+                done.append(self.encode_some(some))
+                some, size = [], 0
+        done.append(self.encode_some(some))
+        return tuple(map(np.concatenate, zip(*done)))
+
+    def encode_some(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        split = list(map(self.words, texts))
+        words = list(chain.from_iterable(split))
+        new = set(words).difference(self.word)
+        if len(self.word) + len(new) > self.KEEP:
+            self.forget()
+            new = set(words)
+        if new:
+            self.learn(list(new))
+        number = np.fromiter(map(self.word.__getitem__, words), np.int64, len(words))
+        counts = self.counts[number]
+        before = np.cumsum(counts)
+        starts = np.cumsum(self.counts) - self.counts
+        at = np.repeat(starts[number] - before + counts, counts)
+        ids = self.tokens[at + np.arange(len(at))]
+        upto = np.append(0, before)[np.cumsum([0, *map(len, split)])]
+        return np.diff(upto), ids
 
 
 @lru_cache(maxsize=2)
@@ -271,11 +378,21 @@ def encoder(path: str, pattern: str) -> Encoder:
 @lru_cache(maxsize=2)
 def labels(path: str) -> list[bytes]:
     """The label of each id, which is all that decoding takes."""
-    return Merges(path).labels
+    return read_labels(path)
+
+
+def text_of(label: list[bytes], ids: np.ndarray) -> str:
+    """The labels of ids, one after the other, as text."""
+    return b"".join(map(label.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 def automaton_encode(
-    df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text"
+    df: DataFrame,
+    path: str,
+    pattern: str,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    decoded: bool = False,
 ) -> DataFrame:
     """Token ids of each whole text, as the tokenizers library gives them without adding
     special tokens; those that a text spells out become their ids.
@@ -285,19 +402,28 @@ def automaton_encode(
     as empty and has no tokens. Other columns are not looked at. ``path`` is a tokenizer
     file of byte-level merges that each executor can open, without normalizer or prefix
     space (others raise); ``pattern`` is what splits a text into words. Narrow: no
-    shuffle, one pass, and a bounded memo of words in each worker.
+    shuffle, one pass, and a bounded memo of words in each worker. With ``decoded`` the
+    same pass decodes the ids, into a column as :func:`automaton_decode` adds.
     """
     picked = df.select(column(id_col).alias("id"), column(text_col).alias("text"))
     kind = picked.schema["id"].dataType.simpleString()
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        run = encoder(path, pattern).encode
-        ids = [run(x.as_py() or "") for x in batch.column(1)]
-        counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-        names = ["id", "n_tokens", "ids"]
-        return pa.RecordBatch.from_arrays([batch.column(0), counts, pa.array(ids, pa.binary())], names)
-
-    return map_batches(picked, encode, f"id {kind}, n_tokens bigint, ids binary")
+        texts = [x or "" for x in batch.column(1).to_pylist()]
+        coder = encoder(path, pattern)
+        counts, ids = coder.encode(texts)
+        ends = pa.py_buffer(np.append(0, np.cumsum(4 * counts)).astype(np.int32).tobytes())
+        packed = pa.Array.from_buffers(pa.binary(), len(texts), [None, ends, pa.py_buffer(ids.tobytes())])
+        columns = [batch.column(0), pa.array(counts, pa.int64()), packed]
+        if decoded:
+            upto = np.cumsum(counts)
+            parts = (ids[b - n : b] for n, b in zip(counts.tolist(), upto.tolist()))
+            columns.append(pa.array([text_of(coder.automaton.labels, x) for x in parts], pa.string()))
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = ["id", "n_tokens", "ids", "decoded"][: 3 + decoded]
+    schema = f"id {kind}, n_tokens bigint, ids binary" + ", decoded string" * decoded
+    return map_batches(picked, encode, schema)
 
 
 def automaton_decode(df: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
@@ -305,14 +431,13 @@ def automaton_decode(df: DataFrame, path: str, ids_col: str = "ids") -> DataFram
     the other, as UTF-8 text; bytes that are no UTF-8 become U+FFFD. Null ids give null,
     no ids the empty string; an id that the file has no label for raises."""
 
-    def text(packed: bytes) -> str:
-        known = labels(path)
-        ids = np.frombuffer(packed, "<u4").tolist()
-        return b"".join(map(known.__getitem__, ids)).decode("utf-8", "replace")
+    out = extend(df.schema, "decoded string")
+    at, arrow = df.columns.index(ids_col), arrow_schema(out)
 
-    @F.pandas_udf("string")
-    def decode(ids):
-        return ids.map(lambda x: None if x is None else text(x))
+    def decode(batch: pa.RecordBatch) -> pa.RecordBatch:
+        known = labels(path)
+        packed = [None if x is None else np.frombuffer(x, "<u4") for x in batch.column(at).to_pylist()]
+        texts = [None if x is None else text_of(known, x) for x in packed]
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], schema=arrow)
 
-    ship(df.sparkSession.sparkContext)
-    return df.withColumn("decoded", decode(column(ids_col)))
+    return map_batches(df, decode, out)

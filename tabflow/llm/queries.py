@@ -124,8 +124,8 @@ def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
 
 def op12_merge_automaton(spark: SparkSession, folder: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
-    encoded = merge_automaton.automaton_encode(table(spark, folder, "documents"), path, pattern)
-    return merge_automaton.automaton_decode(encoded, path).select(
+    documents = table(spark, folder, "documents")
+    return merge_automaton.automaton_encode(documents, path, pattern, decoded=True).select(
         F.col("id").alias("doc_id"),
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -36,17 +36,23 @@ def ids(packed):
     return np.frombuffer(packed, "<u4").tolist()
 
 
+def one(coder, text):
+    counts, found = coder.encode([text])
+    assert counts.tolist() == [len(found)]
+    return found.tolist()
+
+
 @pytest.mark.parametrize("letters", ["ab", "aA ", "etaoin shrdlu", "éüаб漢😀ñ ", " \n\t　\x85\x1cx1'", "0123456789.,-", "=-_#*"])
 def test_automaton_is_exact(coder, library, letters):
     r = random.Random(letters)
     texts = ["".join(r.choice(letters) for _ in range(r.randint(1, 30))) for _ in range(500)]
     for text in [*texts, letters[0] * 5000, letters * 300]:
-        assert ids(coder.encode(text)) == library.encode(text, add_special_tokens=False).ids
+        assert one(coder, text) == library.encode(text, add_special_tokens=False).ids
 
 
 def test_added_tokens_in_a_text(coder, library):
-    for text in ("<|endoftext|>", "a<|endoftext|><|endoftext|> b", "<|endoftext", "x <|endoftext|>\n"):
-        assert ids(coder.encode(text)) == library.encode(text, add_special_tokens=False).ids
+    for text in ("\0<|endoftext|>", "\0 <|endoftext|>\0", "<|endoftext|>", "a<|endoftext|><|endoftext|> b", "<|endoftext", "x <|endoftext|>\n"):
+        assert one(coder, text) == library.encode(text, add_special_tokens=False).ids
 
 
 def by_merging(merges, word):
@@ -81,16 +87,31 @@ def test_small_automata_of_any_merges(tmp_path):
         path = tmp_path / f"{seed}.json"
         path.write_text(json.dumps(whole))
         own = merge_automaton.Automaton(merge_automaton.Merges(str(path)))
-        for _ in range(200):
-            word = "".join(r.choice("abc") for _ in range(r.randint(1, 14)))
-            assert ids(own.encode(word.encode())) == [vocab[t] for t in by_merging(merges, word)]
+        words = ["".join(r.choice("abc") for _ in range(r.randint(0, 14))) for _ in range(200)]
+        words.append("".join(r.choice("abc") for _ in range(200)))
+        counts, tokens = own.encode([w.encode() for w in words])
+        parts = [[vocab[t] for t in by_merging(merges, w)] for w in words]
+        assert counts.tolist() == list(map(len, parts))
+        assert tokens.tolist() == sum(parts, [])
 
 
 def test_a_forgotten_table_is_begun_anew(library):
     own = merge_automaton.Encoder(PATH, PATTERN)
-    own.KEEP, own.automaton.KEEP_STEPS = 3, 20
-    text = "The automaton forgets, and the results stay the same. " * 3
-    assert ids(own.encode(text)) == library.encode(text, add_special_tokens=False).ids
+    own.KEEP, own.automaton.KEEP_STEPS, own.PIECE = 3, 20, 10
+    texts = ["The automaton forgets, and the results stay the same. " * 3, "", "x" * 300, "<|endoftext|>\0"]
+    counts, tokens = own.encode(texts)
+    want = [library.encode(text, add_special_tokens=False).ids for text in texts]
+    assert counts.tolist() == list(map(len, want)) and tokens.tolist() == sum(want, [])
+
+
+def test_a_table_too_small_for_one_call_grows(library, coder):
+    own = merge_automaton.Encoder(PATH, PATTERN)
+    own.automaton.PLACES = 64
+    own.automaton.forget()
+    r = random.Random(5)
+    text = " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(3, 90))) for _ in range(200))
+    assert one(own, text) == library.encode(text, add_special_tokens=False).ids
+    assert own.automaton.places > 64
 
 
 def test_files_of_another_kind_raise():
@@ -112,6 +133,8 @@ def test_encode_and_decode_columns(odd, library):
     texts = [(r.doc_id, r.text or "") for r in odd.collect()]
     want = [(i, library.encode(t, add_special_tokens=False).ids, t) for i, t in texts]
     assert sorted(map(str, got)) == sorted(str((i, len(x), x, t)) for i, x, t in want)
+    both = merge_automaton.automaton_encode(odd, PATH, PATTERN, decoded=True)
+    assert both.exceptAll(coded).count() == 0 and both.columns == coded.columns
     assert merge_automaton.automaton_encode(odd.limit(0), PATH, PATTERN).count() == 0
 
 
