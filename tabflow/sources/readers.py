@@ -10,7 +10,9 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from ..functions.expressions import as_list, column
+from ..functions.expressions import as_list, column, quoted
+from ..functions.skew import estimated_bytes
+from .csv_records import record_texts
 from .paths import require_path
 
 FORMATS = ("csv", "json", "parquet", "delta")
@@ -67,9 +69,12 @@ def read_table(
 
     Rows with more or fewer cells than the header, cells that do not fit their
     type, and lines that are no JSON object fail; ``lenient`` turns what is bad
-    into nulls. Quoted CSV cells may hold line breaks, for which a file is read by
-    one task; ``multi_line=False`` lets large files without such cells be split.
-    A torn cell then fails for its number of cells, except in a table of one column.
+    into nulls. Quoted CSV cells may hold line breaks. Files that are larger than
+    ``spark.sql.files.maxPartitionBytes`` in all are read by many tasks all the same, see
+    ``csv_records``, unless ``options`` holds more than a separator, a header and an
+    encoding of UTF-8; then one task reads a file. ``multi_line=False`` saves looking
+    for records in files without such cells. A torn cell then fails for its number of
+    cells; in a table of one column, where it can't, ``multi_line`` stays on.
     """
     path = require_path(path)
     check_format(fmt)
@@ -77,8 +82,8 @@ def read_table(
     if fmt == "csv":
         strict = {} if lenient else {"mode": "FAILFAST", "columnPruning": "false"}
         lines = {"multiLine": str(multi_line).lower()}
-        reader = reader.options(**{**CSV_OPTIONS, **strict, **lines, **dict(options or {})})
-        return _read_csv(reader, path, schema, as_list(na_tokens), lenient)
+        chosen = {**CSV_OPTIONS, **strict, **lines, **dict(options or {})}
+        return _read_csv(spark, chosen, path, schema, as_list(na_tokens), lenient)
     if fmt == "json" and not lenient:
         reader = reader.options(**{"mode": "FAILFAST", **dict(options or {})})
     if schema is not None:
@@ -87,22 +92,59 @@ def read_table(
         return reader.format(fmt).load(path)
 
 
-def _read_csv(reader, path: str, schema, tokens: list[str], lenient: bool) -> DataFrame:
+def _read_csv(
+    spark: SparkSession, chosen: dict[str, Any], path: str, schema, tokens: list[str], lenient: bool
+) -> DataFrame:
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    if schema is None:
-        texts = _without_tokens(reader.csv(path), tokens)
-        types = _infer_types(texts)
+    reader = spark.read.options(**chosen)
+    names = reader.csv(path).columns if schema is None else schema.names
+    if len(names) == 1 and "multiLine" in chosen:
+        chosen = {**chosen, "multiLine": "true"}
+    if _in_many_tasks(spark, chosen, path):
+        texts = _split_texts(spark, chosen, path, names, schema is not None)
     else:
-        as_text = T.StructType([T.StructField(n, T.StringType()) for n in schema.names])
         # Compare the header with the schema rather than trust positions.
-        texts = _without_tokens(
-            reader.schema(as_text).option("enforceSchema", "false").csv(path), tokens
-        )
-        types = {f.name: f.dataType for f in schema.fields}
+        as_text = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        enforce = "true" if schema is None else "false"
+        reader = spark.read.options(**chosen).option("enforceSchema", enforce)
+        texts = reader.schema(as_text).csv(path)
+    texts = _without_tokens(texts, tokens)
+    types = _infer_types(texts) if schema is None else {f.name: f.dataType for f in schema.fields}
     return texts.select(*[_typed(n, types[n], lenient).alias(n) for n in texts.columns])
 
 
+def _in_many_tasks(spark: SparkSession, chosen: dict[str, Any], path: str) -> bool:
+    """Whether files with line breaks in cells are large, and of the plain kind whose
+    records :mod:`csv_records` finds."""
+    options = {k.lower(): str(v) for k, v in chosen.items()}
+    plain = {"header", "quote", "escape", "mode", "columnpruning", "multiline", "sep", "delimiter", "encoding", "charset"}
+    if options.get("multiline") != "true" or not options.keys() <= plain:
+        return False
+    if options["quote"] != '"' or options["escape"] != '"':
+        return False
+    if {options.get(k, "utf-8").lower() for k in ("encoding", "charset")} - {"utf-8", "utf8"}:
+        return False
+    size = estimated_bytes(spark.read.text(path))
+    limit = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return size is not None and size > limit
+
+
+def _split_texts(
+    spark: SparkSession, chosen: dict[str, Any], path: str, names: list[str], check: bool
+) -> DataFrame:
+    options = {k.lower(): str(v) for k, v in chosen.items()}
+    sep = options.get("sep", options.get("delimiter", ","))
+    header = options.get("header") == "true"
+    records = record_texts(spark, path, sep=sep, header=header, names=names if check else None)
+    ddl = ", ".join(f"{quoted(n)} string" for n in names)
+    parse = {k: str(v) for k, v in chosen.items() if k.lower() not in ("header", "encoding", "charset")}
+    # Behind an explode, or the optimizer would parse only the columns that are used,
+    # and no longer count the cells of a row.
+    parsed = F.explode(F.array(F.from_csv("record", ddl, parse))).alias("r")
+    return records.select(parsed).select(*[F.col("r")[n].alias(n) for n in names])
+
+
 def _without_tokens(texts: DataFrame, tokens: list[str]) -> DataFrame:
     if not tokens:
         return texts

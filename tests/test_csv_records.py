@@ -1,0 +1,144 @@
+"""Large CSV files with line breaks in quoted cells, read by many tasks."""
+
+import csv
+import io
+import random
+
+import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
+
+import tabflow as tf
+from tabflow.sources.csv_records import inside_after, record_texts
+
+from conftest import rows
+
+LIMIT = "spark.sql.files.maxPartitionBytes"
+
+
+@pytest.fixture
+def small_ranges(spark):
+    """Byte ranges of 300 bytes, so that small files are large ones."""
+    before = spark.conf.get(LIMIT)
+    spark.conf.set(LIMIT, "300")
+    yield
+    spark.conf.set(LIMIT, before)
+
+
+def one_task(spark, path, schema, **more):
+    before = spark.conf.get(LIMIT)
+    spark.conf.set(LIMIT, "128m")
+    try:
+        return rows(tf.read_table(spark, path, "csv", schema, **more))
+    finally:
+        spark.conf.set(LIMIT, before)
+
+
+def written(path, table, end="\n", names=("i", "t", "u")):
+    out = io.StringIO()
+    csv.writer(out, lineterminator=end).writerows([names, *table])
+    path.write_bytes(out.getvalue().encode())
+    return str(path)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_many_tasks_give_the_rows_of_one(spark, tmp_path, small_ranges, end):
+    r = random.Random(1)
+    cells = ["plain", 'say "x"', "a\nb", '"\n"', "\n\n", "", 'stray " quote', "long\n" * 200, 'x,"y",\n"z"', "é\r\nü"]
+    table = [(k, r.choice(cells), r.choice(cells)) for k in range(400)]
+    path = written(tmp_path / "t.csv", table, end)
+    schema = "i int, t string, u string"
+    df = tf.read_table(spark, path, "csv", schema, na_tokens=[])
+    assert df.rdd.getNumPartitions() > 20
+    got = rows(df)
+    assert [(i, t or "", u or "") for i, t, u in got] == table
+    # Read in one task, the breaks in cells of such a file come back as its parser likes.
+    plain = one_task(spark, path, schema, na_tokens=[])
+    assert [(i, *((c or "").replace("\r\n", "\n") for c in x)) for i, *x in got] == [
+        (i, *((c or "").replace("\r\n", "\n") for c in x)) for i, *x in plain
+    ]
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.integers(0, 2**32))
+def test_any_cells(spark, tmp_path_factory, small_ranges, seed):
+    r = random.Random(seed)
+    folder = tmp_path_factory.mktemp("csv")
+    expected = []
+    for name in ("a", "b"):
+        table = []
+        for _ in range(r.randint(0, 60)):
+            cells = ["".join(r.choice('ab",\n ') for _ in range(r.randint(1, 30))) for _ in range(2)]
+            table.append((len(expected) + len(table), *cells))
+        expected += table
+        written(folder / f"{name}.csv", table)
+    df = tf.read_table(spark, str(folder), "csv", "i int, t string, u string", na_tokens=[])
+    assert rows(df) == expected
+
+
+def test_quotes_inside_unquoted_cells_are_characters(spark, tmp_path, small_ranges):
+    lines = ['i,t', *(f'{k},5" pipe' if k % 2 else f'{k},"two\nlines ""{k}"""' for k in range(200))]
+    (tmp_path / "t.csv").write_text("\n".join(lines))
+    got = rows(tf.read_table(spark, str(tmp_path / "t.csv"), "csv", "i int, t string"))
+    assert got == [(k, '5" pipe' if k % 2 else f'two\nlines "{k}"') for k in range(200)]
+
+
+@pytest.mark.parametrize(
+    "line, inside, after",
+    [("a,b", False, False), ("a,b", True, True), ('a,"b', False, True), ('b",c', True, False),
+     ('"a""', False, True), ('"a"",', False, True), ('a"b,c', False, False), ('"",""', False, False),
+     ('""', True, True), ('"', True, False), ('","', True, True), ('x"y,"z', True, True)],
+)
+def test_quotes_of_a_line(line, inside, after):
+    assert inside_after(line, inside, ",") is after
+
+
+def test_one_column_is_not_torn(spark, tmp_path, small_ranges):
+    texts = [f"line {k}\nbreak {k}" for k in range(100)]
+    path = written(tmp_path / "t.csv", [[t] for t in texts], names=["t"])
+    for many in (True, False):
+        df = tf.read_table(spark, path, "csv", "t string", multi_line=many)
+        assert sorted(x.t for x in df.collect()) == sorted(texts)
+
+
+def test_bad_rows_and_headers_fail(spark, tmp_path, small_ranges):
+    good = [f'{k},"a\nb"' for k in range(100)]
+    for bad in ("1", "1,2,3", "x,y"):
+        (tmp_path / "t.csv").write_text("\n".join(["i,t", *good, bad, *good]))
+        df = tf.read_table(spark, str(tmp_path / "t.csv"), "csv", "i int, t string")
+        with pytest.raises(Exception):
+            df.collect()
+        with pytest.raises(Exception):
+            df.select("i" if bad == "x,y" else "t").collect()
+        lenient = tf.read_table(spark, str(tmp_path / "t.csv"), "csv", "i int, t string", lenient=True)
+        assert lenient.count() == 201
+    (tmp_path / "t.csv").write_text("\n".join(["t,i", *good]))
+    with pytest.raises(Exception, match="header"):
+        tf.read_table(spark, str(tmp_path / "t.csv"), "csv", "i int, t string").collect()
+
+
+def test_types_are_found_in_many_tasks(spark, tmp_path, small_ranges):
+    path = written(tmp_path / "t.csv", [(k, k / 2, "a\n,") for k in range(200)])
+    df = tf.read_table(spark, path)
+    assert [f.dataType.simpleString() for f in df.schema.fields] == ["bigint", "double", "string"]
+    assert df.agg({"i": "sum"}).first()[0] == 19900
+
+
+def test_other_options_take_one_task(spark, tmp_path, small_ranges):
+    (tmp_path / "t.csv").write_text("\n".join(["i;t", *(f"{k};'a\n{k}'" for k in range(100))]))
+    df = tf.read_table(spark, str(tmp_path / "t.csv"), "csv", "i int, t string", options={"sep": ";", "quote": "'"})
+    assert df.count() == 100
+
+
+def test_a_cell_longer_than_many_ranges(spark, tmp_path, small_ranges):
+    text = "word, \n" * 1000
+    path = written(tmp_path / "t.csv", [(1, "a", "b"), (2, text, text), (3, "c", "d")])
+    df = tf.read_table(spark, path, "csv", "i int, t string, u string")
+    assert rows(df) == [(1, "a", "b"), (2, text, text), (3, "c", "d")]
+    assert record_texts(spark, path).count() == 3
+
+
+def test_empty_files(spark, tmp_path, small_ranges):
+    for k in range(20):
+        (tmp_path / f"{k}.csv").write_text("i,t\n" + "\n" * k * 30)
+    df = tf.read_table(spark, str(tmp_path), "csv", "i int, t string")
+    assert df.count() == 0
