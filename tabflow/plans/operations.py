@@ -30,6 +30,7 @@ from ..operators.joins import join
 from ..operators.ordering import limit, order_by
 from ..operators.setops import distinct, union, union_by_name
 from ..operators.windows import window
+from .staging import Staging
 
 Tables = Mapping[str, DataFrame]
 
@@ -100,21 +101,32 @@ def _check(number: int, op: Mapping[str, Any]) -> None:
 
 
 def apply_ops(
-    df: DataFrame, ops: Iterable[Mapping[str, Any]], tables: Tables | None = None
+    df: DataFrame,
+    ops: Iterable[Mapping[str, Any]],
+    tables: Tables | None = None,
+    *,
+    staging: Staging | None = None,
 ) -> DataFrame:
     """Apply ``ops`` in list order; ``tables`` holds second inputs by alias.
 
     The whole list is checked before the first operation is applied, and the
-    result is one lazy plan.
+    result is one lazy plan. With ``staging`` the inputs of operations that would read
+    a shuffled or random table several times are written once; the caller removes
+    them after the result was used.
     """
-    ops = list(ops)
+    ops, tables = list(ops), dict(tables or {})
     for number, op in enumerate(ops, 1):
         _check(number, op)
         if "target_alias" in op:
-            _table(tables or {}, op["target_alias"])
+            _table(tables, op["target_alias"])
     for op in ops:
         arguments = {k: v for k, v in op.items() if k != "op"}
-        df = OPERATIONS[op["op"]](df, tables or {}, **arguments)
+        if staging is not None:
+            df = staging.before(op, df)
+            if op["op"] == "join":
+                other = op["target_alias"]
+                tables[other] = staging.before(op, tables[other])
+        df = OPERATIONS[op["op"]](df, tables, **arguments)
     return df
 
 

@@ -148,3 +148,59 @@ def test_job_refusals(spark, tmp_path, change, text):
     with pytest.raises(ValueError, match=text):
         tf.run_job(spark, spec)
     assert not (tmp_path / "out").exists()
+
+
+def test_job_writes_random_inputs_once(spark, tmp_path, monkeypatch):
+    """A random column is the same for all parts of a split window, and of a median."""
+    import glob
+
+    from pyspark.sql import Window, functions as F
+
+    from tabflow.plans import operations, staging
+
+    tight = tf.SkewPolicy(small_bytes=0, hot_rows=100)
+    monkeypatch.setattr(staging, "DEFAULT_SKEW", tight)
+    for name in ("window", "groupby_agg"):
+        plain = getattr(operations, name)
+        monkeypatch.setattr(operations, name, lambda *a, plain=plain, **k: plain(*a, **k, skew=tight))
+    spark.range(0, 3000, 1, 6).selectExpr("id", "id % 2 AS k").write.parquet(f"{tmp_path}/in")
+    kept = []
+    known = staging.Staging.before
+    monkeypatch.setattr(staging.Staging, "before", lambda self, op, df: kept.append((self, known(self, op, df))) or kept[-1][1])
+    path = tf.run_job(
+        spark,
+        {
+            "input": {"path": f"{tmp_path}/in", "format": "parquet"},
+            "operations": [
+                {"op": "withColumnExpr", "name": "r", "expr": "rand()"},
+                {"op": "window", "partitionBy": ["k"], "orderBy": ["r"], "func": "max", "col": "r",
+                 "alias": "next", "frame": "rowsBetween(0, 1)"},
+                {"op": "window", "partitionBy": ["k"], "orderBy": ["r"], "func": "count", "col": "r",
+                 "alias": "near", "frame": "rowsBetween(-100, 100)"},
+            ],
+            "output": {"path": f"{tmp_path}/out", "format": "parquet"},
+        },
+    )
+    out = spark.read.parquet(path)
+    order = Window.partitionBy("k").orderBy("r")
+    again = out.withColumns({
+        "next2": F.max("r").over(order.rowsBetween(0, 1)), "near2": F.count("r").over(order.rowsBetween(-100, 100)),
+    })
+    assert out.count() == 3000 and again.where("next <> next2 OR near <> near2").count() == 0
+    # Both windows' inputs were written, the first for its random column; nothing is left.
+    assert len(kept) == 3 and kept[0][0].tables == 2 and kept[0][0].folder is None
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    assert glob.glob(f"{base}/job-*") == []
+
+
+def test_plain_jobs_are_not_staged(spark, events):
+    from tabflow.plans.staging import Staging, reads_again, steps
+
+    assert steps(events)[1] and not steps(events.selectExpr("rand() AS r"))[1]
+    assert not steps(events.limit(3))[1] and steps(tf.limit(tf.order_by(events, "ts"), 3))[1]
+    assert not steps(events.sample(0.5))[1]
+    assert reads_again({"op": "groupByAgg", "aggs": {"x": ["sum", "median"]}})
+    assert not reads_again({"op": "groupByAgg", "aggs": {"x": ["sum"]}}) and not reads_again({"op": "filter"})
+    staging = Staging(spark)
+    op = {"op": "window"}
+    assert staging.before(op, events) is events and staging.folder is None
