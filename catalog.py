@@ -613,6 +613,16 @@ def first_last_nulls(spark, folder):
     return tf.groupby_agg(df, "user_id", {"kind": ["first", "last"]}, order_col="ts")
 
 
+@query(
+    """SELECT l_suppkey, min({'m': month(l_shipdate), 'v': l_extendedprice}).v AS first_l_extendedprice,
+    max({'m': month(l_shipdate), 'v': l_extendedprice}).v AS last_l_extendedprice
+    FROM lineitem GROUP BY 1"""
+)
+def first_last_ties(spark, folder):
+    df = tf.with_column(table(spark, folder, "lineitem"), "m", "month(l_shipdate)")
+    return tf.groupby_agg(df, "l_suppkey", {"l_extendedprice": ["first", "last"]}, order_col="m")
+
+
 @query(
     """SELECT l_shipdate, round(median(l_quantity), 4) AS l_quantity FROM lineitem GROUP BY 1"""
 )
@@ -757,6 +767,40 @@ def window_whole_table_split(spark, folder):
     return rounded(tf.select(df, ["event_id", "sum_value"]), sum_value=2)
 
 
+_LONG_FRAME = """SELECT event_id, round(sum(value) OVER w, 2) AS sum_value, max(value) OVER w AS max_value,
+    count(value) OVER w AS count_value, round(avg(value) OVER w, 4) AS mean_value FROM events
+    WINDOW w AS (PARTITION BY {} ORDER BY ts, event_id ROWS BETWEEN 30000 PRECEDING AND 19999 FOLLOWING)"""
+
+
+def _long_frame(spark, folder, partition, **skew):
+    df = tf.select(table(spark, folder, "events"), ["event_id", "event_type", "ts", "value"])
+    for func in ("sum", "max", "count", "mean"):
+        df = tf.window(
+            df, partition, ["ts", "event_id"], func=func, col="value", rows=(-30000, 19999), **skew
+        )
+    return rounded(tf.drop(df, ["event_type", "ts", "value"]), sum_value=2, mean_value=4)
+
+
+@query(_LONG_FRAME.format("event_type"))
+def window_long_frame(spark, folder):
+    return _long_frame(spark, folder, "event_type")
+
+
+@query(_LONG_FRAME.format("1"))
+def window_long_frame_split(spark, folder):
+    return _long_frame(spark, folder, None, skew=SPLIT)
+
+
+@query(
+    """SELECT event_id, min(value) OVER (PARTITION BY event_type ORDER BY ts, event_id
+    ROWS BETWEEN 150 PRECEDING AND 60 PRECEDING) AS min_value FROM events"""
+)
+def window_block_frame(spark, folder):
+    df = tf.select(table(spark, folder, "events"), ["event_id", "event_type", "ts", "value"])
+    df = tf.window(df, "event_type", ["ts", "event_id"], func="min", col="value", rows=(-150, -60))
+    return tf.select(df, ["event_id", "min_value"])
+
+
 # --- order, limit, set operations -------------------------------------------
 
 

@@ -19,9 +19,9 @@ from .expressions import column
 class SkewPolicy:
     """When and how finely an operator splits large groups."""
 
-    small_bytes: int = 256 * 1024 * 1024
-    """An input Catalyst sizes at or under this runs the plain operator."""
-    hot_rows: int = 1_000_000
+    small_bytes: int = 64 * 1024 * 1024
+    """Files of at most this size run the plain operator, see :func:`is_small`."""
+    hot_rows: int = 250_000
     """A group of at most this many rows is never split."""
     max_hot: int = 65_536
     """Bound on hot groups, and on range boundaries over all of them."""
@@ -45,6 +45,44 @@ def fits(df: DataFrame, limit: int) -> bool:
     return size is not None and size <= limit
 
 
+#: Steps of a plan that give no more rows than they read.
+_NO_MORE_ROWS = {
+    "Project", "Filter", "Sort", "Window", "Aggregate", "Distinct", "Deduplicate", "GlobalLimit",
+    "LocalLimit", "Repartition", "RepartitionByExpression", "RebalancePartitions", "Union", "Sample",
+    "CollectMetrics",
+}
+
+
+def is_small(df: DataFrame, policy: SkewPolicy) -> bool:
+    """Whether no group of ``df`` can be hot, so that the plain operator may run.
+
+    Catalyst's size estimate says nothing of the rows that an explode, a join or a
+    function makes, so it isn't asked: a plan is small if Catalyst has proved a bound of
+    ``hot_rows`` on its rows, or if it only takes rows away from files of
+    ``small_bytes`` or less. The groups of any other input are counted as it runs,
+    and without a hot one among them adaptive execution leaves the plain operator.
+    """
+    try:
+        plan = df._jdf.queryExecution().optimizedPlan()
+        bound = plan.maxRows()
+        if bound.isDefined() and int(str(bound.get())) <= policy.hot_rows:
+            return policy.small_bytes > 0
+        total, todo = 0, [plan]
+        while todo:
+            node = todo.pop()
+            children = node.children()
+            if children.isEmpty():
+                if node.nodeName() != "LogicalRelation" and not node.nodeName().startswith("Relation"):
+                    return False
+                total += int(str(node.relation().sizeInBytes()))
+            elif node.nodeName() not in _NO_MORE_ROWS:
+                return False
+            todo += [children.apply(i) for i in range(children.size())]
+        return total <= policy.small_bytes
+    except AttributeError:
+        return False
+
+
 def hot_groups(df: DataFrame, group: Column, policy: SkewPolicy) -> DataFrame:
     """Hot groups of ``df``: ``__g`` (the group), ``__rows`` and ``__unit``.
 
@@ -102,14 +140,17 @@ def with_range_bucket(rows: DataFrame, order: list[Column], policy: SkewPolicy)
     return found.select(*map(column, rows.columns), bucket)
 
 
-def bucket_starts(bucketed: DataFrame) -> DataFrame:
-    """Per (``__g``, ``__bucket``): rows of the group before it, and in all."""
-    sizes = bucketed.groupBy("__g", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+def bucket_starts(bucketed: DataFrame, size: Column | None = None) -> DataFrame:
+    """Per (``__g``, ``__bucket``): its rows ``__n``, those of the group before it, and in
+    all. ``size`` is an aggregate that counts them, if rows stand for several."""
+    size = F.count(F.lit(1)) if size is None else size
+    sizes = bucketed.groupBy("__g", "__bucket").agg(size.alias("__n"))
     group = Window.partitionBy("__g")
     before = group.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     return sizes.select(
         "__g",
         "__bucket",
+        "__n",
         F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"),
         F.sum("__n").over(group).alias("__total"),
     )

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.aggregate_functions import REDUCERS, aggregate, check_function
+from ..functions.aggregate_functions import (
+    POSITIONAL,
+    REDUCERS,
+    aggregate,
+    check_function,
+    is_ordered,
+)
 from ..functions.expressions import (
     actual_name,
     as_list,
@@ -21,8 +28,8 @@ from ..functions.skew import (
     DEFAULT_SKEW,
     SkewPolicy,
     bucket_starts,
-    fits,
     hot_groups,
+    is_small,
     with_range_bucket,
 )
 
@@ -63,7 +70,10 @@ def groupby_agg(
     ``{"func", "col", "alias"}`` and of aliased aggregate columns. Without keys
     or aggregates the table comes back as it is. Null keys form groups unless
     ``dropna``. ``min_count0`` makes an empty sum 0. ``first`` and ``last`` follow
-    ``order_col``, which a list item may set for itself.
+    ``order_col``, which a list item may set for itself; of rows with equal order the
+    first has the least value and the last the greatest, however rows are dealt out.
+    The median of a column is split in large inputs also when given as a column; other
+    columns with a median or percentile in them raise there.
     """
     keys = as_list(keys)
     if not keys or not aggs:
@@ -78,13 +88,15 @@ def groupby_agg(
     if dropna:
         df = df.dropna(subset=[f"`{k}`" for k in keys])
 
-    medians = [s for s in specs if not isinstance(s, Column) and s["func"] == "median"]
-    if medians:
+    if any(isinstance(s, Column) or s["func"] == "median" for s in specs):
+        small = is_small(df, skew)
+        specs = specs if small else _named_medians(df, specs)
+        medians = [s for s in specs if not isinstance(s, Column) and s["func"] == "median"]
         _check_numeric(df, [s["col"] for s in medians])
         used = list(dict.fromkeys(s["col"] for s in medians))
-        if not fits(df.select(*map(column, dict.fromkeys(keys + used))), skew.small_bytes):
+        if medians and not small:
             return _with_split_medians(df, keys, specs, used, min_count0, order_col, skew)
-    built = [_build(s, min_count0, order_col) for s in specs]
+    built = [_build(df, s, min_count0, order_col) for s in specs]
     return df.groupBy(*map(column, keys)).agg(*built)
 
 
@@ -122,14 +134,22 @@ def groupby_reduce(
     )
 
 
-def _build(spec: Mapping[str, Any] | Column, min_count0: bool, order_col: str | None) -> Column:
+def _build(
+    df: DataFrame, spec: Mapping[str, Any] | Column, min_count0: bool, order_col: str | None
+) -> Column:
     if isinstance(spec, Column):
         return spec
     order = spec.get("order_col") or order_col
+    tie = None
+    if spec["func"] in POSITIONAL:
+        kind = df.schema[actual_name(df, spec["col"])].dataType
+        # Values that have no order among themselves are told apart as texts.
+        tie = column(spec["col"]) if is_ordered(kind) else F.to_json(F.struct(column(spec["col"])))
     return aggregate(
         spec["func"],
         column(spec["col"]) if spec["func"] != "size" else literal(1),
         order_col=None if order is None else column(order),
+        tie=tie,
         min_count0=min_count0,
     ).alias(spec["alias"])
 
@@ -154,7 +174,7 @@ def _with_split_medians(
 ) -> DataFrame:
     """All of ``specs``, with the medians computed by :func:`_split_medians`."""
     others = [
-        _build(s, min_count0, order_col)
+        _build(df, s, min_count0, order_col)
         for s in specs
         if isinstance(s, Column) or s["func"] != "median"
     ]
@@ -178,10 +198,11 @@ def _split_medians(
 ) -> DataFrame:
     """Exact medians of ``cols`` per group, as ``__g, __m0, __m1, ...``.
 
-    Spark's own median keeps all distinct values of a group in one buffer. Here
-    equal values are counted first, hot groups are cut into value ranges, and
-    the middle one or two values are found by their position: rows in earlier
-    ranges plus the running count in their own.
+    Spark's own median keeps all distinct values of a group in one buffer. Here the
+    input is read once, to count the rows of each value of a group; all else is made
+    from those counts, of which Spark keeps one shuffle. Groups with many values are
+    cut into value ranges, and of these only the ranges that hold the middle one or
+    two values are sorted: the rows of earlier ranges are added up.
     """
     values = F.array(
         *[
@@ -189,34 +210,29 @@ def _split_medians(
             for i, c in enumerate(cols)
         ]
     )
-    grouped = df.select(group_struct(keys).alias("__k"), *map(column, cols))
-    hot = hot_groups(grouped, F.col("__k"), skew)
-    # Several columns give a row that many values.
-    hot = F.broadcast(hot.selectExpr("__g AS __k", f"__unit * {len(cols)} AS __unit"))
-
-    def long(rows: DataFrame, *kept: str) -> DataFrame:
-        """One row per value; __g holds the group and which of cols the value is of."""
-        return (
-            rows.select("__k", *kept, F.explode(values).alias("__x"))
-            .where("__x.__v IS NOT NULL")
-            .select(F.struct("__k", "__x.__i").alias("__g"), "__x.__v", *kept)
-        )
-
-    split = with_range_bucket(
-        long(grouped.join(hot, "__k"), "__unit"), [F.col("__v")], skew
-    ).drop("__unit")
-    whole = long(grouped.join(hot, "__k", "left_anti")).withColumn("__bucket", F.lit(-1))
-
     counted = (
-        whole.unionByName(split).groupBy("__g", "__bucket", "__v").agg(F.count("*").alias("__c"))
+        df.select(group_struct(keys).alias("__k"), F.explode(values).alias("__x"))
+        .where("__x.__v IS NOT NULL")
+        .groupBy(F.struct("__k", "__x.__i").alias("__g"), F.col("__x.__v").alias("__v"))
+        .agg(F.count(F.lit(1)).alias("__c"))
     )
+    hot = F.broadcast(hot_groups(counted, F.col("__g"), skew).drop("__rows"))
+    # An outer join, as the optimizer would move an anti join below the counting, which
+    # then were no longer the same for both.
+    whole = counted.join(hot, "__g", "left").where("__unit IS NULL").drop("__unit")
+    split = with_range_bucket(counted.join(hot, "__g"), [F.col("__v")], skew).drop("__unit")
+    starts = bucket_starts(split, F.sum("__c"))
+    middle = "__start + __n > (__total - 1) div 2 AND __start <= __total div 2"
+    # Two buckets of a hot group at most.
+    near = split.join(F.broadcast(starts.where(middle).drop("__n")), ["__g", "__bucket"])
+    rows = whole.withColumns(
+        {"__bucket": F.lit(-1), "__start": F.lit(0).cast("long"), "__total": F.lit(None).cast("long")}
+    ).unionByName(near)
+
     part = Window.partitionBy("__g", "__bucket")
     upto = F.sum("__c").over(part.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
-    placed = (
-        counted.withColumns({"__upto": upto, "__in_part": F.sum("__c").over(part)})
-        .join(bucket_starts(split), ["__g", "__bucket"], "left")
-        .withColumn("__end", F.coalesce("__start", F.lit(0)) + F.col("__upto"))
-        .withColumn("__all", F.coalesce("__total", "__in_part"))
+    placed = rows.withColumns({"__upto": upto, "__in_part": F.sum("__c").over(part)}).withColumns(
+        {"__end": F.col("__start") + F.col("__upto"), "__all": F.coalesce("__total", "__in_part")}
     )
 
     def covers(position: Column) -> Column:
@@ -238,3 +254,23 @@ def _split_medians(
             for i in range(len(cols))
         ]
     )
+
+
+def _named_medians(df: DataFrame, specs: list) -> list:
+    """``specs`` with each aggregate column that is the median of a column of ``df`` as an
+    item of the list; columns with other medians or percentiles in them raise, as Spark
+    holds all values of a group for them in one buffer."""
+    out = []
+    for spec in specs:
+        if not isinstance(spec, Column):
+            out.append(spec)
+            continue
+        text = str(spec._jc.toString())
+        plain = re.fullmatch(r"median\(`?([^`()]+)`?\)(?: AS `?([^`]+)`?)?", text, re.IGNORECASE)
+        if plain and name_folder(df)(plain[1]) in map(name_folder(df), df.columns):
+            out.append({"func": "median", "col": plain[1], "alias": plain[2] or f"median({plain[1]})"})
+        elif re.search(r"\b(median|percentile|percentile_cont|percentile_disc|mode)\(", text, re.IGNORECASE):
+            raise ValueError(f"Give the median of a large input as func and col, not as {text}")
+        else:
+            out.append(spec)
+    return out

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.expressions import actual_name, as_list, column, hashable, name_folder
-from ..functions.skew import DEFAULT_SKEW, SkewPolicy, fits, hot_groups
+from ..functions.expressions import actual_name, as_list, column, name_folder
+from ..functions.skew import DEFAULT_SKEW, SkewPolicy, fits, hot_groups, is_small
 
 KINDS = ("inner", "left", "right", "full", "left_semi", "left_anti")
 
@@ -38,7 +40,7 @@ def join(
     as they are. So do large inner, semi and anti joins, of which adaptive
     execution splits hot keys from one read of each side. It can't split the right
     side of a left join, the left side of a right join, or a full join; hot keys
-    there are salted, see :func:`_salted_join`.
+    there are joined apart, see :func:`_split_join`.
     """
     on = as_list(on)
     if how not in KINDS:
@@ -59,7 +61,7 @@ def join(
 
     sides = {"left": df, "right": other}
     limit = _broadcast_limit(df) if skew.broadcast else -1
-    if all(fits(side, skew.small_bytes) for side in sides.values()) or any(
+    if all(is_small(side, skew) for side in sides.values()) or any(
         fits(sides[s], limit) for s in _BROADCASTABLE[how]
     ):
         return df.join(other, on, how)
@@ -68,7 +70,7 @@ def join(
         return df.join(other.distinct(), on, how)
     if how == "inner":
         return df.join(other, on, how)
-    return _salted_join(df, other, on, how, skew)
+    return _split_join(df, other, on, how, skew)
 
 
 def _broadcast_limit(df: DataFrame) -> int:
@@ -79,65 +81,81 @@ def _broadcast_limit(df: DataFrame) -> int:
     return int(digits) * 1024 ** " kmgtp".index(unit or " ")
 
 
-def _salted_join(
+def _split_join(
     df: DataFrame, other: DataFrame, on: list[str], how: str, skew: SkewPolicy
 ) -> DataFrame:
-    """Join in which no task gets more than a share of a hot key's rows.
-
-    Rows of a key that is hot on a side are dealt out over several salts, and
-    the other side's rows of that key are copied to each of them. All other rows
-    have salt 0 and one copy. A copy that meets no partner is not an unmatched
-    row, for its key is on the other side; such copies are removed. Null keys
-    are dealt out but never copied, as they have no partners.
+    """Outer joins in which no task gets all rows of a hot key.
+
+    Adaptive execution splits both sides of an inner join, but not the side of an outer
+    join that may stay unmatched. Keys that are hot there are joined apart. Such a key
+    does have rows on that side, so in a left or right join the rows of the other
+    side all find partners, and an inner join of the two hot parts is the whole result.
+    In a full join the hot keys are counted on both sides: those on one side alone are
+    unmatched as they are, and so are null keys. All parts are plain joins that filters
+    and column choices pass through.
     """
-    hot_left = _salts(df, on, skew) if how != "left" else None
-    hot_right = _salts(other, on, skew) if how != "right" else None
-    left = _spread(df, on, "__l", "__r", hot_left, hot_right, "__left_copied")
-    right = _spread(other, on, "__r", "__l", hot_right, hot_left, "__right_copied")
-    joined = left.join(right, [*on, "__l", "__r"], how)
-    stray_left = F.coalesce("__left_copied", F.lit(False)) & F.col("__right_copied").isNull()
-    stray_right = F.coalesce("__right_copied", F.lit(False)) & F.col("__left_copied").isNull()
-    joined = joined.where(~stray_left & ~stray_right)
-    return joined.drop("__l", "__r", "__left_copied", "__right_copied")
-
-
-def _salts(df: DataFrame, on: list[str], skew: SkewPolicy) -> DataFrame:
-    """Hot keys as ``__h0, __h1, ...`` with ``__salts``, for broadcasting."""
-    hot = hot_groups(df, F.struct(*[column(k).alias(f"__h{i}") for i, k in enumerate(on)]), skew)
-    return hot.select("__g.*", F.ceil(F.col("__rows") / F.col("__unit")).alias("__salts"))
-
-
-def _spread(
-    df: DataFrame,
-    on: list[str],
-    own_salt: str,
-    other_salt: str,
-    own: DataFrame | None,
-    other: DataFrame | None,
-    copied: str,
+    result = df.join(other, on, how).schema
+
+    def part(joined: DataFrame) -> DataFrame:
+        fold = name_folder(joined)
+        there = {fold(c): c for c in joined.columns}
+        nothing = F.lit(None)
+        return joined.select(
+            *[
+                (column(there[fold(f.name)]) if fold(f.name) in there else nothing)
+                .cast(f.dataType)
+                .alias(f.name)
+                for f in result.fields
+            ]
+        )
+
+    if how != "full":
+        first, second = (df, other) if how == "left" else (other, df)
+        hot = F.broadcast(_hot_keys(second, on, skew))
+        cold = [side.join(hot, on, "left_anti") for side in (first, second)]
+        of_hot = [side.join(hot, on, "left_semi") for side in (first, second)]
+        return part(cold[0].join(cold[1], on, "left")).unionByName(part(of_hot[0].join(of_hot[1], on)))
+
+    hot = _hot_keys_of_both(df, other, on, skew)
+    shared = F.broadcast(hot.where("__left > 0 AND __right > 0").select(*map(column, on)))
+    known = [_with_keys(side, on) for side in (df, other)]
+    cold = [side.join(F.broadcast(hot.select(*map(column, on))), on, "left_anti") for side in known]
+    of_hot = [side.join(shared, on, "left_semi") for side in known]
+    no_key = functools.reduce(operator.or_, [column(k).isNull() for k in on])
+    alone = []
+    for side, partners in ((df, "__right"), (other, "__left")):
+        lone = hot.where(f"{partners} = 0").select(*map(column, on), F.lit(True).alias("__lone"))
+        rows = side.join(F.broadcast(lone), on, "left").where(no_key | F.col("__lone"))
+        alone.append(part(rows.drop("__lone")))
+    parts = [part(cold[0].join(cold[1], on, "full")), part(of_hot[0].join(of_hot[1], on)), *alone]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _with_keys(df: DataFrame, on: list[str]) -> DataFrame:
+    return df.where(functools.reduce(operator.and_, [column(k).isNotNull() for k in on]))
+
+
+def _hot_keys(df: DataFrame, on: list[str], skew: SkewPolicy) -> DataFrame:
+    """The keys that are hot in ``df``, for broadcasting."""
+    keys = F.struct(*[column(k).alias(k) for k in on])
+    return hot_groups(_with_keys(df, on), keys, skew).select("__g.*")
+
+
+def _hot_keys_of_both(
+    df: DataFrame, other: DataFrame, on: list[str], skew: SkewPolicy
 ) -> DataFrame:
-    """Add both salts to ``df``: its own one dealt out, the other's by copying."""
-    columns = df.columns
-    deal = copy = F.lit(0).cast("long")
-    spread = df
-    if own is not None:
-        same = [column(k).eqNullSafe(F.col(f"__h{i}")) for i, k in enumerate(on)]
-        spread = spread.join(F.broadcast(own), same, "left")
-        spread = spread.drop(*[f"__h{i}" for i in range(len(on))])
-        # The reading task's number deals out exact copies of a row as well.
-        dealt = F.xxhash64(*hashable(df)) if hashable(df) else F.lit(0)
-        dealt = F.pmod(dealt, F.col("__salts")) + F.spark_partition_id()
-        deal = F.coalesce(F.pmod(dealt, F.col("__salts")), deal)
-    if other is not None:
-        # One row per key and salt, in all under 2 * max_hot: the join itself copies.
-        salts = F.explode(F.sequence(copy, F.col("__salts") - 1)).alias("__copy")
-        each = other.select(*[f"__h{i}" for i in range(len(on))], salts)
-        same = [column(k) == F.col(f"__h{i}") for i, k in enumerate(on)]
-        spread = spread.join(F.broadcast(each), same, "left")
-        copy = F.coalesce("__copy", copy)
-        is_copied = F.col("__copy").isNotNull()
-    else:
-        is_copied = F.lit(False)
-    return spread.select(
-        *map(column, columns), deal.alias(own_salt), copy.alias(other_salt), is_copied.alias(copied)
+    """The keys that are hot in one of the tables, with their rows in each, ``__left``
+    and ``__right``; fewer than twice ``max_hot``."""
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    names = [column(k).alias(k) for k in on]
+    tagged = _with_keys(df, on).select(*names, one.alias("__left"), none.alias("__right"))
+    tagged = tagged.unionByName(
+        _with_keys(other, on).select(*names, none.alias("__left"), one.alias("__right"))
+    )
+    counted = tagged.groupBy(*map(column, on)).agg(
+        F.sum("__left").alias("__left"), F.sum("__right").alias("__right")
     )
+    most = counted.agg(F.greatest(F.sum("__left"), F.sum("__right")).alias("n"))
+    share = most.select(F.ceil(F.col("n") / skew.max_hot)).scalar()
+    unit = F.greatest(F.lit(skew.hot_rows).cast("long"), F.coalesce(share, none))
+    return counted.where(F.greatest("__left", "__right") > unit)

@@ -13,14 +13,16 @@ from ..functions.skew import (
     DEFAULT_SKEW,
     SkewPolicy,
     bucket_starts,
-    fits,
     hot_groups,
+    is_small,
     whole_table_unit,
     with_range_bucket,
 )
 
 #: A frame's end from here on has no bound.
 NO_BOUND = Window.unboundedFollowing
+#: Rows of a frame from which it is put together from the aggregates of blocks.
+WIDE = 64
 
 
 def window(
@@ -60,12 +62,22 @@ def window(
     if reserved:
         raise ValueError(f"Reserved column names: {reserved}")
     unbounded = low <= -NO_BOUND or high >= NO_BOUND
-    if fits(df, skew.small_bytes) or unbounded and not _adds_exactly(df, func, col):
-        return df.withColumn(alias, result.over(plain))
-
-    grouped = df.withColumn("__g", group_struct(parts))
+    exact = _adds_exactly(df, func, col)
+    wide = not unbounded and high - low >= WIDE and exact
+    kind = df.select(result.alias(alias)).schema[0].dataType
     output = [*map(column, df.columns), column(alias)]
 
+    def whole_partitions(rows: DataFrame) -> DataFrame:
+        if not wide:
+            return rows.withColumn(alias, result.over(plain))
+        by = Window.partitionBy(*map(column, parts))
+        rows = rows.withColumn("__pos", F.row_number().over(by.orderBy(*sort)) - F.lit(1).cast("long"))
+        return _block_frames(rows, parts, func, column(col), kind, alias, low, high)
+
+    if is_small(df, skew) or unbounded and not exact:
+        return whole_partitions(df).select(*output)
+
+    grouped = df.withColumn("__g", group_struct(parts))
     tie = F.xxhash64(*hashable(df)) if hashable(df) else F.lit(0)
 
     def split(rows: DataFrame) -> DataFrame:
@@ -74,8 +86,13 @@ def window(
             return rows.join(totals, "__g").select(*output)
         placed = _placed(rows, sort, tie, skew)
         if unbounded:
-            kind = df.select(result.alias(alias)).schema[0].dataType
             framed = _split_open_frames(placed, func, column(col), kind, alias, low, high)
+        elif wide:
+            unit = F.greatest("__unit", F.lit(4 * (max(high, 0) + max(-low, 0))).cast("long"))
+            copied = _copied(placed.withColumn("__unit", unit), low, high)
+            by = ["__g", "__block"]
+            framed = _block_frames(copied, by, func, column(col), kind, alias, low, high)
+            framed = framed.where("__block = __pos div __unit")
         else:
             framed = _split_frames(placed, result, alias, low, high)
         return framed.select(*output)
@@ -83,7 +100,7 @@ def window(
     if not parts:
         return split(grouped.withColumn("__unit", whole_table_unit(df, skew)))
     hot = F.broadcast(hot_groups(grouped, F.col("__g"), skew).drop("__rows"))
-    whole = grouped.join(hot, "__g", "left_anti").withColumn(alias, result.over(plain))
+    whole = whole_partitions(grouped.join(hot, "__g", "left_anti"))
     return whole.select(*output).union(split(grouped.join(hot, "__g")))
 
 
@@ -107,7 +124,7 @@ def _placed(rows: DataFrame, sort: list[Column], tie: Column, skew: SkewPolicy)
     nth = F.row_number().over(Window.partitionBy("__g", "__bucket").orderBy(*names))
     return (
         bucketed.withColumn("__nth", nth)
-        .join(bucket_starts(bucketed), ["__g", "__bucket"])
+        .join(bucket_starts(bucketed).drop("__n"), ["__g", "__bucket"])
         .withColumn("__pos", F.col("__start") + F.col("__nth") - 1)
         .drop("__bucket", "__nth", "__start", *keys)
     )
@@ -121,13 +138,98 @@ def _split_frames(
     Blocks of ``__unit`` positions are windowed apart; a row is copied to the
     blocks in whose frames it takes part, and each block returns only its own rows.
     """
+    copied = _copied(placed, low, high)
+    frame = Window.partitionBy("__g", "__block").orderBy("__pos").rowsBetween(low, high)
+    return copied.withColumn(alias, result.over(frame)).where("__block = __pos div __unit")
+
+
+def _copied(placed: DataFrame, low: int, high: int) -> DataFrame:
+    """A row for each ``__block`` of ``__unit`` positions in whose frames it takes part."""
     before, after = max(high, 0), max(-low, 0)
     # No further than the partition's first and last block, however wide the frame is.
     first = F.expr(f"greatest(0L, __pos - {before}L) div __unit")
     last = F.expr(f"least(__total - 1, __pos + {after}L) div __unit")
-    copied = placed.withColumn("__block", F.explode(F.sequence(first, last)))
-    frame = Window.partitionBy("__g", "__block").orderBy("__pos").rowsBetween(low, high)
-    return copied.withColumn(alias, result.over(frame)).where("__block = __pos div __unit")
+    return placed.withColumn("__block", F.explode(F.sequence(first, last)))
+
+
+def _partials(func: str, value: Column, kind: T.DataType) -> tuple[dict[str, str], dict[str, str], Column]:
+    """What is aggregated of parts of a frame, how the parts are merged, and of what."""
+    if func in ("mean", "avg"):
+        parts = {"__a": "sum", "__n": "count"}
+        if isinstance(kind, T.DoubleType):
+            value = value.cast("double")
+    else:
+        parts = {"__a": func}
+    return parts, {"__a": "sum" if func in ("count", "mean", "avg") else func, "__n": "sum"}, value
+
+
+def _merged(how: str, a: Column, b: Column) -> Column:
+    """The aggregate of two parts of a frame, either of which may have none."""
+    if how in ("min", "max"):
+        return (F.least if how == "min" else F.greatest)(a, b)
+    return F.coalesce(a + b, a, b)
+
+
+def _block_frames(
+    rows: DataFrame,
+    by: list[str],
+    func: str,
+    value: Column,
+    kind: T.DataType,
+    alias: str,
+    low: int,
+    high: int,
+) -> DataFrame:
+    """Frames of many rows with as much work per row as frames of a few.
+
+    ``rows`` has positions without gaps, ``__pos``, within the groups of ``by``. They are
+    cut into blocks as long as a frame, so a frame is the end of one block and the
+    beginning of the next; both come from running aggregates of the blocks, forwards
+    and backwards, of the rows at the frame's ends. All is done in one shuffle, by ``by``.
+    """
+    width = high - low + 1
+    parts, merge, value = _partials(func, value, kind)
+    group = Window.partitionBy(*map(column, by))
+    # First a window over the whole group: its shuffle serves those over blocks too.
+    rows = rows.withColumn("__last", F.max("__pos").over(group))
+    rows = rows.withColumn("__part", F.expr(f"__pos div {width}L"))
+    block = Window.partitionBy(*map(column, by), "__part")
+    running = (Window.unboundedPreceding, Window.currentRow)
+    forwards = block.orderBy("__pos").rowsBetween(*running)
+    backwards = block.orderBy(F.col("__pos").desc()).rowsBetween(*running)
+    for c, f in parts.items():
+        rows = rows.withColumn(f"__to{c}", aggregate(f, value).over(forwards))
+    for c, f in parts.items():
+        rows = rows.withColumn(f"__from{c}", aggregate(f, value).over(backwards))
+
+    order = group.orderBy("__pos")
+    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    found = {}
+    for c in parts:
+        found[f"__begin{c}"] = F.lead(f"__from{c}", low).over(order)
+        found[f"__end{c}"] = F.lead(f"__to{c}", high).over(order)
+        found[f"__close{c}"] = F.last(f"__to{c}").over(everything)
+    rows = rows.withColumns(found)
+    a, b = F.expr(f"__pos + {low}L"), F.expr(f"__pos + {high}L")
+    over = b > F.col("__last")
+    one_block = F.expr(f"(__pos + {low}L) div {width}L = least(__pos + {high}L, __last) div {width}L")
+
+    def total(c: str) -> Column:
+        begin = F.col(f"__begin{c}")
+        end = F.when(over, F.col(f"__close{c}")).otherwise(F.col(f"__end{c}"))
+        none = F.lit(0).cast("long") if parts[c] == "count" else F.lit(None)
+        return (
+            F.when((a > F.col("__last")) | (b < 0), none)
+            .when(a < 0, end)
+            .when(one_block, begin)
+            .otherwise(_merged(merge[c], begin, end))
+        )
+
+    if "__n" in parts:
+        framed = F.when(total("__n") > 0, total("__a") / total("__n"))
+    else:
+        framed = total("__a")
+    return rows.withColumn(alias, framed.cast(kind))
 
 
 def _split_open_frames(
@@ -142,14 +244,7 @@ def _split_open_frames(
     if high >= NO_BOUND:  # the same from the other side
         placed = placed.withColumn("__pos", F.col("__total") - 1 - F.col("__pos"))
         high = -low
-    if func in ("mean", "avg"):
-        parts = {"__a": "sum", "__n": "count"}
-        if isinstance(kind, T.DoubleType):
-            value = value.cast("double")
-    else:
-        parts = {"__a": func}
-    merge = {"__a": "sum" if func in ("count", "mean", "avg") else func, "__n": "sum"}
-
+    parts, merge, value = _partials(func, value, kind)
     cut = placed.withColumns(
         {
             "__own": F.expr("__pos div __unit"),
@@ -175,10 +270,7 @@ def _split_open_frames(
     )
 
     def total(c: str) -> Column:
-        a, b = F.col(c), F.col(f"__far{c}")
-        if merge[c] in ("min", "max"):
-            return (F.least if merge[c] == "min" else F.greatest)(a, b)
-        return F.coalesce(a + b.cast(near.schema[c].dataType), a, b)
+        return _merged(merge[c], F.col(c), F.col(f"__far{c}").cast(near.schema[c].dataType))
 
     found = total("__a")
     if "__n" in parts:

@@ -166,3 +166,47 @@ def test_medians_of_integers_and_decimals_are_doubles(spark):
         out = tf.groupby_agg(df, "k", {"i": "median", "d": "median"}, skew=policy)
         assert rows(out) == [(1, 2.5, 1.75)]
         assert [f.dataType.simpleString() for f in out.schema.fields[1:]] == ["double", "double"]
+
+
+def test_ties_of_an_order_give_one_result(spark):
+    data = [("a", k % 7, f"v{k:03}", {"m": k}) for k in range(200)] + [("a", 0, None, None), ("a", None, "no", {"m": 0})]
+    df = spark.createDataFrame(data, "k string, t int, v string, m map<string,int>")
+    seen = set()
+    for n in (1, 3, 8):
+        for key in ("v", "t"):
+            some = df.repartition(n, key).sortWithinPartitions(F.rand(n))
+            out = tf.groupby_agg(some, "k", {"v": ["first", "last"], "m": ["first", "last"]}, order_col="t")
+            (row,) = out.collect()
+            seen.add((row.first_v, row.last_v, str(row.first_m), str(row.last_m)))
+    assert len(seen) == 1 and next(iter(seen))[:2] == ("v000", "v195")
+
+
+def scans(df):
+    """How often a plan reads its files, as it ran."""
+    df.collect()
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return text[: text.index("Initial Plan")].count("FileScan")
+
+
+@pytest.mark.parametrize("hot_rows", [100, 10**9])
+def test_medians_read_the_input_once_and_other_aggregates_once_more(spark, tmp_path, hot_rows):
+    spark.range(5000).selectExpr("id % 3 AS k", "id * 7 % 4999 AS v", "id AS w").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    policy = tf.SkewPolicy(small_bytes=0, hot_rows=hot_rows)
+    out = tf.groupby_agg(df, "k", {"v": ["median", "sum"], "w": "median"}, skew=policy)
+    plain = df.groupBy("k").agg(F.median("v").alias("a"), F.sum("v").alias("b"), F.median("w").alias("c"))
+    assert rows(out) == rows(plain)
+    assert scans(tf.groupby_agg(df, "k", {"v": ["median", "sum"], "w": "median"}, skew=policy)) <= 2
+
+
+def test_medians_given_as_columns_are_split_or_refused(spark):
+    df = spark.range(900).selectExpr("id % 2 AS k", "id AS v", "id * 2 AS `w w`")
+    policy = tf.SkewPolicy(small_bytes=0, hot_rows=50)
+    out = tf.groupby_agg(df, "k", [F.median("v").alias("m"), F.median(F.col("`w w`")), F.max("v").alias("x")], skew=policy)
+    assert out.columns == ["k", "m", "median(w w)", "x"]
+    assert "__bucket" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(out) == rows(df.groupBy("k").agg(F.median("v"), F.median("`w w`"), F.max("v")))
+    for other in (F.median(F.col("v") + 1), F.percentile("v", 0.9).alias("p"), F.max("v") - F.median("v")):
+        with pytest.raises(ValueError, match="median"):
+            tf.groupby_agg(df, "k", [other], skew=policy)
+        assert tf.groupby_agg(df.limit(10), "k", [other]).count() == 2

@@ -48,10 +48,20 @@ def test_small_side_is_broadcast_by_catalyst(spark):
     assert "BroadcastHashJoin" in plan(catalog.join_left(spark, FOLDER))
 
 
-def test_joins_beyond_the_limit_shuffle_on_salts(spark):
-    text = plan(catalog.join_full_salted(spark, FOLDER))
-    assert "__l" in text and "__r" in text
+@pytest.mark.parametrize("how", ["left", "right", "full"])
+def test_split_outer_joins_push_filters_and_read_little(spark, how):
+    large = tf.SkewPolicy(small_bytes=0, hot_rows=500, broadcast=False)
+    orders = tf.rename(catalog.table(spark, FOLDER, "orders"), {"o_custkey": "c_custkey"})
+    customers = catalog.table(spark, FOLDER, "customer")
+    out = tf.join(orders, customers, "c_custkey", how, skew=large)
+    some = out.where("o_orderstatus = 'F' AND c_acctbal > 0").select("o_orderkey", "c_name")
+    text = plan(some)
+    assert "EqualTo(o_orderstatus,F)" in text and "GreaterThan(c_acctbal,0.0)" in text
+    assert "o_totalprice" not in text and "c_mktsegment" not in text
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    # As it runs, without hot keys: each side once, and again for null keys of a full join.
+    reads = final_plan(out).count("FileScan")
+    assert reads <= (4 if how == "full" else 2)
 
 
 @pytest.mark.parametrize("how", ["inner", "left_semi", "left_anti"])

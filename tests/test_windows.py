@@ -3,9 +3,10 @@ import random
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
-from pyspark.sql import Window
+from pyspark.sql import Window, functions as F
 
 import tabflow as tf
+from tabflow.operators import windows
 
 from conftest import rows
 
@@ -141,3 +142,107 @@ def test_ties_that_differ_are_cut_apart(spark):
     df = spark.range(2000).selectExpr("1 AS k", "1 AS t", "id AS v")
     out = tf.window(df, "k", "t", func="count", col="v", alias="w", skew=tf.SkewPolicy(small_bytes=0, hot_rows=50))
     assert out.groupBy("w").count().count() == 2  # all rows but the two at the ends see three
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+@given(
+    st.integers(0, 2**32),
+    st.integers(1, 300),
+    st.sampled_from(["sum", "mean", "count", "min", "max"]),
+    st.integers(-40, 30),
+    st.sampled_from([2, 3, 7, 20, 64, 400]),
+    st.booleans(),
+)
+def test_frames_of_blocks_by_brute_force(spark, seed, size, func, low, width, small):
+    """Long frames, which are put together from blocks, in small and in split inputs."""
+    rng = random.Random(seed)
+    data = [
+        (rng.choice(["hot", "hot", None, "a", "b"]), t, rng.choice([None, *range(50)]))
+        for t in rng.sample(range(10 * size), size)
+    ]
+    df = spark.createDataFrame(data, "k string, t int, v bigint").repartition(4)
+    policy = tf.SkewPolicy(small_bytes=0, hot_rows=rng.choice([1, 4, 30, 10**6]), max_hot=64)
+    if small:
+        df, policy = df.limit(size), tf.SkewPolicy()
+    before, windows.WIDE = windows.WIDE, 1
+    try:
+        out = tf.window(
+            df, "k", "t", func=func, col="v", alias="w", rows=(low, low + width - 1), skew=policy
+        )
+        got = sorted(map(tuple, out.collect()), key=lambda r: r[1])
+    finally:
+        windows.WIDE = before
+    expected = sorted(brute(data, func, low, low + width - 1), key=lambda r: r[1])
+    assert len(got) == len(expected)
+    for g, e in zip(got, expected):
+        assert g == pytest.approx(e)
+
+
+def test_long_frames_have_the_plain_type_and_special_values(spark):
+    df = spark.range(400).selectExpr(
+        "id % 2 AS k", "id AS t", "CAST(id AS DECIMAL(9,2)) AS d", "CAST(id AS FLOAT) AS f",
+        "CASE WHEN id % 50 = 7 THEN double('NaN') WHEN id % 90 = 1 THEN double('-inf') ELSE id END AS n",
+        "CAST(id AS DECIMAL(30,2)) AS wide",
+    )
+    policy = tf.SkewPolicy(small_bytes=0, hot_rows=50)
+    for col in ("d", "f", "t", "n", "wide"):
+        for func in ("sum", "mean", "max", "min", "count"):
+            if col == "n" and func in ("sum", "mean"):
+                continue  # infinite and missing numbers stay so, which is the same for all frames
+            call = {"func": func, "col": col, "alias": "w", "rows": (-90, -3)}
+            before, windows.WIDE = windows.WIDE, 10**6
+            plain = tf.window(df.limit(400), "k", "t", **call)
+            windows.WIDE = before
+            for out in (tf.window(df.limit(400), "k", "t", **call), tf.window(df, "k", "t", **call, skew=policy)):
+                assert out.schema["w"].dataType == plain.schema["w"].dataType
+                assert str(rows(out.select("t", "w"))) == str(rows(plain.select("t", "w")))
+
+
+def shuffled_rows(spark, df):
+    """Rows that the shuffles of a plan wrote."""
+    df.write.format("noop").mode("overwrite").save()
+    seen, todo, total = set(), [df._jdf.queryExecution().executedPlan()], 0
+    df.collect()
+    todo = [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+            continue
+        if "QueryStage" in name:
+            todo.append(node.plan())
+            continue
+        if name == "Exchange" and node.id() not in seen:
+            seen.add(node.id())
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+def test_long_frames_shuffle_each_row_a_few_times(spark):
+    df = spark.range(0, 60_000, 1, 4).selectExpr("id % 1 AS k", "id * 7919 % 60000 AS t", "id AS v")
+    policy = tf.SkewPolicy(small_bytes=0, hot_rows=2000)
+    out = tf.window(df, "k", "t", func="max", col="v", alias="w", rows=(-3000, 1999), skew=policy)
+    assert shuffled_rows(spark, out) < 3 * 60_000
+
+
+def test_exploded_rows_are_counted(spark, tmp_path):
+    """A million rows of one partition that Catalyst takes for a few."""
+    spark.range(1000).selectExpr("1 AS k", "id AS t").write.parquet(f"{tmp_path}/t")
+    many = spark.read.parquet(f"{tmp_path}/t").selectExpr("k", "t", "explode(sequence(0, 999)) AS s")
+    out = tf.window(many, "k", ["t", "s"], func="count", col="s", alias="w")
+    out.write.format("noop").mode("overwrite").save()
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "__bucket" in text
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    sizes = out.withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    spark.conf.unset(setting)
+    assert sum(x["count"] for x in sizes) == 1_000_000 and len(sizes) > 3
+    assert out.where("w <> 3").count() == 2
+    median = tf.groupby_agg(many, "k", {"s": "median"})
+    assert rows(median) == [(1, 499.5)]
+    plain = spark.read.parquet(f"{tmp_path}/t")
+    assert "__bucket" not in tf.window(plain, "k", "t", func="count", col="t", alias="w")._jdf.queryExecution().optimizedPlan().toString()
