@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabflow.llm import langid, near_copies, packing, quality_gam, suffix_dedup
+from tabflow.llm import langid, packing, quality_gam, simhash_dedup, suffix_dedup
 from tabflow.llm.queries import held_out, sized, table
 from tabflow.llm.shared import materialise
 
@@ -32,14 +32,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies (0.8 of their five-word shingles):
-    that with the smallest id, nulls last, and of those the least hash of the text. A
-    document is told by id and text, so null and repeated ids lose no other texts."""
-    found = near_copies.near_copies(docs)
-    least = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "th")).alias("of")
-    first = found.groupBy("root").agg(least).select(F.struct("of.id", "of.th").alias("key"))
+    """Keep one document of each SimHash group (three-word shingles, two bits): that with
+    the smallest id, nulls last, and of those the least hash of the text. A document is
+    told by id and text, so null and repeated ids lose no other texts."""
+    key = F.struct(
+        F.col("doc_id").isNull().alias("last"),
+        F.col("doc_id").alias("id"),
+        F.xxhash64("text").alias("th"),
+    )
+    keyed = docs.withColumn("key", key)
+    found = simhash_dedup.simhash_components(keyed, id_col="key")
+    first = found.where("id <=> component_id").select(F.col("id").alias("key"))
     # In a struct, null equals null; joined and made unique by it in one shuffle.
-    keyed = docs.withColumn("key", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th")))
     kept = keyed.join(first.hint("merge"), "key", "left_semi")
     return kept.dropDuplicates(["key"]).select(*COLUMNS)
 
