@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from tabflow.llm import near_copies
+from tabflow.llm import simhash_dedup
 from tabflow.llm.shared import materialise
 
 
@@ -34,23 +34,43 @@ def test_stages(spark, tmp_path):
     assert 0 in kept["near_duplicates"] and not {60, 61} & kept["near_duplicates"].keys()
     assert all(x.text == texts[k] for k, x in kept["near_duplicates"].items())
     assert all(passage not in x.text and x.n_chars == len(x.text) for x in kept["repeats"].values())
-    assert kept["packing"].keys() == {k for k, x in kept["repeats"].items() if x.text.split()}
+    # Every document has an end, also one of which no word is left.
+    assert kept["packing"].keys() == kept["repeats"].keys()
 
 
-def edited(r, words, step):
-    """The words with one of every ``step`` replaced."""
-    return " ".join(f"new{r.random()}" if k % step == step // 2 else w for k, w in enumerate(words))
-
-
-def test_lightly_edited_copies_go(spark):
+def test_one_of_each_simhash_group_stays(spark):
+    """Groups by brute force over all pairs of fingerprints."""
     r = random.Random(3)
-    texts = [[f"w{r.randint(0, 5000)}" for _ in range(150)] for _ in range(12)]
-    # One word in 60 changes at most 15 of 146 shingles, one in 20 more than a third.
-    rows = [(k, " ".join(w)) for k, w in enumerate(texts)]
-    rows += [(100 + k, edited(r, w, 60)) for k, w in enumerate(texts)] + [(200, edited(r, texts[0], 20))]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    texts = [" ".join(f"w{r.randint(0, 5000)}" for _ in range(400)) for _ in range(30)]
+    texts += [t + " one more" for t in texts] + texts[:5] + ["", None, " "]
+    rows = [(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    prints = [simhash_dedup.fingerprint(t) for t in texts]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(prints):
+            for j, b in enumerate(prints):
+                if (a ^ b).bit_count() <= 2:
+                    root[i] = min(root[i], root[j])
     kept = {x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
-    assert kept == {*range(12), 200}
+    assert kept == set(root) and 30 <= len(kept) < 61
+
+
+def test_stages_on_empty_tables_and_more_columns(spark, tmp_path):
+    """Each stage gives its columns of no documents, and of documents with others beside."""
+    r = random.Random(6)
+    rows = [(k, " ".join(sentence(r) for _ in range(9)), "en", "s", 1) for k in range(40)]
+    rows += [(40 + k, "BUY!! ### " * 40, "en", "s", 1) for k in range(10)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    labels = [(k, int(k < 40)) for k in range(50)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    more = docs.selectExpr("*", "1 AS id", "2 AS score", "3 AS key", "4 AS fp", "'x' AS lang_pred", "5 AS predicted")
+    for name, stage in corpus_pipeline.STAGES:
+        plain = stage(spark, docs, str(tmp_path))
+        beside = stage(spark, more, str(tmp_path))
+        assert plain.columns == beside.columns and plain.count() == beside.count() > 0
+        if name != "quality":  # which has nothing to learn from then
+            assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
 def test_null_and_repeated_ids_lose_no_other_texts(spark):
@@ -60,33 +80,3 @@ def test_null_and_repeated_ids_lose_no_other_texts(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "1L AS n_chars")
     kept = [(x.doc_id, x.text) for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
     assert len(kept) == 5 and set(kept) == {(None, a), (None, b), (1, c), (2, d), (2, e)}
-
-
-def test_near_copies_by_brute_force(spark):
-    r = random.Random(4)
-    base = [[f"w{r.randint(0, 400)}" for _ in range(r.choice([3, 30, 90, 700]))] for _ in range(25)]
-    rows = [" ".join(w) for w in base] + [None, "", " \n"]
-    for _ in range(200):
-        rows.append(edited(r, r.choice(base), r.choice([15, 30, 40, 60, 100])))
-    df = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
-    sets = []
-    for t in rows:
-        w = (t or "").split()
-        sets.append({tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set())
-    root = list(range(len(rows)))
-    near = [(i, j) for i in range(len(rows)) for j in range(i) if (not sets[i] and not sets[j]) or (sets[i] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))]
-
-    def up(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i, j in near:
-        root[up(i)] = up(j)
-    groups = {}
-    for x in near_copies.near_copies(df).collect():
-        groups.setdefault(x.root, set()).add(x.id)
-    want = {}
-    for k in range(len(rows)):
-        want.setdefault(up(k), set()).add(k)
-    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
