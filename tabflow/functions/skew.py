@@ -23,8 +23,8 @@ class SkewPolicy:
     """Files of at most this size run the plain operator, see :func:`is_small`."""
     hot_rows: int = 250_000
     """A group of at most this many rows is never split."""
-    max_hot: int = 65_536
-    """Bound on hot groups, and on range boundaries over all of them."""
+    max_hot: int = 16_384
+    """Bound on hot groups, and on range boundaries over all of them; up to 190,000."""
     broadcast: bool = True
     """Leave joins to Catalyst when it can broadcast a side."""
 
@@ -83,25 +83,62 @@ def is_small(df: DataFrame, policy: SkewPolicy) -> bool:
         return False
 
 
+#: In how many parts the sketches of tasks are merged before they become one.
+_MERGED = 256
+
+
+def likely_hot(keyed: DataFrame, policy: SkewPolicy) -> DataFrame:
+    """Hashes ``__h`` of ``keyed`` that all hot groups are among, and ``__unit``.
+
+    Each task keeps a frequent-items sketch of a size that depends on ``max_hot`` alone,
+    so no more than that is shuffled however many groups there are. The sketch tracks
+    so many items that what it may miss of a count is under half a ``unit``; it adds
+    that to its estimates, so that no hot group is left out, and what is named besides
+    has over half a unit of rows.
+    """
+    # The error is at most 3.5 rows in so many as the sketch has places, of which three
+    # quarters are filled.
+    tracked = min(-(-21 * policy.max_hot // 4) + 1, 1_000_000)
+    parts = keyed.groupBy(F.pmod(F.spark_partition_id(), F.lit(_MERGED)).alias("__part")).agg(
+        F.expr(f"approx_top_k_accumulate(__h, {tracked})").alias("__s"), F.count(F.lit(1)).alias("__n")
+    )
+    # By a key, if only one: without any, a task that has no sketch can't write its share.
+    whole = parts.groupBy(F.pmod("__part", F.lit(1)).alias("__all")).agg(
+        F.expr(f"approx_top_k_combine(__s, {tracked})").alias("__s"), F.sum("__n").alias("__n")
+    )
+    return (
+        whole.select(
+            _unit(F.col("__n"), policy).alias("__unit"),
+            F.explode(F.expr(f"approx_top_k_estimate(__s, {min(2 * policy.max_hot, tracked)})")).alias("__x"),
+        )
+        .where("__x.count > __unit")
+        .select(F.col("__x.item").alias("__h"), "__unit")
+    )
+
+
 def hot_groups(df: DataFrame, group: Column, policy: SkewPolicy) -> DataFrame:
     """Hot groups of ``df``: ``__g`` (the group), ``__rows`` and ``__unit``.
 
-    Counts are combined on the map side, so a hot group reaches its reducer as
-    one row per map task.
+    Only the groups that a sketch names are counted, see :func:`likely_hot`.
     """
-    sizes = df.groupBy(group.alias("__g")).agg(F.count(F.lit(1)).alias("__rows"))
-    unit = _unit(sizes.agg(F.sum("__rows").alias("n")), policy)
+    keyed = df.select(group.alias("__g")).withColumn("__h", F.xxhash64("__g"))
+    counted = keyed.join(F.broadcast(likely_hot(keyed, policy)), "__h").groupBy("__g", "__unit")
+    return counted.agg(F.count(F.lit(1)).alias("__rows")).where("__rows > __unit").select("__g", "__rows", "__unit")
+
+
+def hot_of_counts(sizes: DataFrame, policy: SkewPolicy) -> DataFrame:
+    """The rows of ``sizes`` (``__g``, ``__rows``) that are hot, with ``__unit``."""
+    unit = sizes.agg(F.sum("__rows").alias("n")).select(_unit(F.col("n"), policy)).scalar()
     return sizes.withColumn("__unit", unit).where("__rows > __unit")
 
 
 def whole_table_unit(df: DataFrame, policy: SkewPolicy) -> Column:
     """``unit`` for a table that is a single group."""
-    return _unit(df.agg(F.count(F.lit(1)).alias("n")), policy)
+    return df.agg(F.count(F.lit(1)).alias("n")).select(_unit(F.col("n"), policy)).scalar()
 
 
-def _unit(total: DataFrame, policy: SkewPolicy) -> Column:
-    share = total.select(F.ceil(F.col("n") / policy.max_hot)).scalar()
-    return F.greatest(F.lit(policy.hot_rows).cast("long"), share)
+def _unit(rows: Column, policy: SkewPolicy) -> Column:
+    return F.greatest(F.lit(policy.hot_rows).cast("long"), F.ceil(rows / policy.max_hot))
 
 
 def with_range_bucket(rows: DataFrame, order: list[Column], policy: SkewPolicy) -> DataFrame:

@@ -28,7 +28,7 @@ from ..functions.skew import (
     DEFAULT_SKEW,
     SkewPolicy,
     bucket_starts,
-    hot_groups,
+    hot_of_counts,
     is_small,
     with_range_bucket,
 )
@@ -216,7 +216,8 @@ def _split_medians(
         .groupBy(F.struct("__k", "__x.__i").alias("__g"), F.col("__x.__v").alias("__v"))
         .agg(F.count(F.lit(1)).alias("__c"))
     )
-    hot = F.broadcast(hot_groups(counted, F.col("__g"), skew).drop("__rows"))
+    sizes = counted.groupBy("__g").agg(F.count(F.lit(1)).alias("__rows"))
+    hot = F.broadcast(hot_of_counts(sizes, skew).drop("__rows"))
     # An outer join, as the optimizer would move an anti join below the counting, which
     # then were no longer the same for both.
     whole = counted.join(hot, "__g", "left").where("__unit IS NULL").drop("__unit")

@@ -146,16 +146,14 @@ def _hot_keys_of_both(
 ) -> DataFrame:
     """The keys that are hot in one of the tables, with their rows in each, ``__left``
     and ``__right``; fewer than twice ``max_hot``."""
+    hot = _hot_keys(df, on, skew).unionByName(_hot_keys(other, on, skew)).distinct()
     none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     names = [column(k).alias(k) for k in on]
-    tagged = _with_keys(df, on).select(*names, one.alias("__left"), none.alias("__right"))
-    tagged = tagged.unionByName(
-        _with_keys(other, on).select(*names, none.alias("__left"), one.alias("__right"))
+    tagged = df.select(*names, one.alias("__left"), none.alias("__right")).unionByName(
+        other.select(*names, none.alias("__left"), one.alias("__right"))
     )
-    counted = tagged.groupBy(*map(column, on)).agg(
-        F.sum("__left").alias("__left"), F.sum("__right").alias("__right")
+    return (
+        tagged.join(F.broadcast(hot), on, "left_semi")
+        .groupBy(*map(column, on))
+        .agg(F.sum("__left").alias("__left"), F.sum("__right").alias("__right"))
     )
-    most = counted.agg(F.greatest(F.sum("__left"), F.sum("__right")).alias("n"))
-    share = most.select(F.ceil(F.col("n") / skew.max_hot)).scalar()
-    unit = F.greatest(F.lit(skew.hot_rows).cast("long"), F.coalesce(share, none))
-    return counted.where(F.greatest("__left", "__right") > unit)

@@ -13,8 +13,8 @@ from ..functions.skew import (
     DEFAULT_SKEW,
     SkewPolicy,
     bucket_starts,
-    hot_groups,
     is_small,
+    likely_hot,
     whole_table_unit,
     with_range_bucket,
 )
@@ -40,9 +40,10 @@ def window(
 
     ``order_by`` should be unique within a partition: Spark orders tied rows
     arbitrarily, and only a total order can be cut anywhere. Partitions too
-    large for one task are cut into blocks, see :func:`_split_frames` and
-    :func:`_split_open_frames`. Only sums and means of decimals whose sum has 38
-    digits are not, in frames without an end: adding partial sums could round them.
+    large for one task are cut into blocks, see :func:`_split_frames`,
+    :func:`_block_frames` for long frames, and :func:`_split_open_frames`. In frames
+    without an end only sums and means of decimals with 38 digits and many of them after
+    the point are not: adding partial sums could round them, see :func:`_adds_exactly`.
     Column names that begin with two underscores raise.
     """
     check_function(func, WINDOWED)
@@ -99,17 +100,24 @@ def window(
 
     if not parts:
         return split(grouped.withColumn("__unit", whole_table_unit(df, skew)))
-    hot = F.broadcast(hot_groups(grouped, F.col("__g"), skew).drop("__rows"))
-    whole = whole_partitions(grouped.join(hot, "__g", "left_anti"))
-    return whole.select(*output).union(split(grouped.join(hot, "__g")))
+    grouped = grouped.withColumn("__h", F.xxhash64("__g"))
+    hot = F.broadcast(likely_hot(grouped.select("__h"), skew))
+    whole = whole_partitions(grouped.join(hot, "__h", "left_anti"))
+    return whole.select(*output).union(split(grouped.join(hot, "__h").drop("__h")))
 
 
 def _adds_exactly(df: DataFrame, func: str, col: str) -> bool:
-    """Whether the sums of two parts of ``col`` can be added without rounding."""
+    """Whether the aggregates of two parts of ``col`` give that of both without rounding.
+
+    Two decimals of 38 digits add to one that keeps no more than six of them after the
+    point, and their sum divided by a count has six.
+    """
     if func not in ("sum", "mean", "avg"):
         return True
     kind = df.select(F.sum(column(col)).alias("s")).schema[0].dataType
-    return not (isinstance(kind, T.DecimalType) and kind.precision == 38)
+    if not isinstance(kind, T.DecimalType) or kind.precision < 38:
+        return True
+    return kind.scale <= (6 if func == "sum" else 2)
 
 
 def _placed(rows: DataFrame, sort: list[Column], tie: Column, skew: SkewPolicy) -> DataFrame:

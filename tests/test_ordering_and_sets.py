@@ -73,3 +73,38 @@ def test_union_by_name(spark):
 def test_distinct(spark):
     df = spark.createDataFrame([(1, None), (1, None), (2, "x")], "a int, b string")
     assert rows(tf.distinct(df)) == [(1, None), (2, "x")]
+
+
+def test_equal_rows_sort_in_many_tasks(spark):
+    """A million copies of one row, beside others."""
+    one = spark.range(0, 1_000_000, 1, 8).selectExpr("7 AS a", "'x' AS b", "double('-0.0') AS c")
+    other = spark.range(100).selectExpr("int(id % 15) AS a", "string(id) AS b", "double(0) AS c")
+    df = one.unionAll(other)
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(setting, "false")
+    try:
+        out = tf.order_by(df, "a")
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert sum(sizes) == 1_000_100 and max(sizes) < 400_000
+        got = out.select("a", "b", F.col("c").cast("string").alias("c")).collect()
+    finally:
+        spark.conf.unset(setting)
+    assert [r.a for r in got] == sorted(r.a for r in got)
+    assert sum(r.b == "x" and r.c == "-0.0" for r in got) == 1_000_000
+
+
+def test_counted_sort_by_brute_force(spark):
+    import random
+
+    r = random.Random(8)
+    data = [r.choice([(1, "a", 0.0, [1]), (1, "a", -0.0, [1]), (1, "a", float("nan"), None), (None, None, None, []), (2, "b", 1.5, [2, None]), (r.randint(0, 5), "c", r.random(), [3])]) for _ in range(500)]
+    df = spark.createDataFrame(data, "`a a` int, b string, c double, d array<int>").repartition(4)
+    for hot in (1, 20, 10**6):
+        out = tf.order_by(df, ["a a", "b"], skew=tf.SkewPolicy(small_bytes=0, hot_rows=hot))
+        assert out.columns == df.columns
+        got = [tuple(map(str, x)) for x in out.collect()]
+        assert sorted(got) == sorted(tuple(map(str, x)) for x in data)
+        keys = [(x["a a"], x.b) for x in out.collect()]
+        assert keys == sorted(keys, key=lambda k: (k[0] is not None, k[0] or 0, k[1] is not None, k[1] or ""))
+    maps = df.selectExpr("*", "map('k', b) AS m")
+    assert tf.order_by(maps, "b", skew=tf.SkewPolicy(small_bytes=0, hot_rows=1)).count() == 500

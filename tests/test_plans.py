@@ -124,6 +124,26 @@ def test_hot_groups_are_found_and_bounded(spark):
     assert hot_groups(even, F.col("k"), tf.SkewPolicy(hot_rows=1, max_hot=64)).count() < 64
 
 
+def test_hot_groups_shuffle_no_distinct_keys(spark):
+    from pyspark.sql import functions as F
+
+    from tabflow.functions.skew import hot_groups
+    from test_windows import shuffled_rows
+
+    df = spark.range(0, 300_000, 1, 8).selectExpr("CASE WHEN id % 4 = 0 THEN -1 WHEN id % 50 = 1 THEN NULL ELSE id END AS k")
+    found = hot_groups(df, F.struct("k"), tf.SkewPolicy(hot_rows=1000, max_hot=64))
+    assert sorted(((r["__g"].k, r["__rows"], r["__unit"]) for r in found.collect()), key=str) == [
+        (-1, 75000, 4688), (None, 6000, 4688),
+    ]
+    assert shuffled_rows(spark, found) < 2000
+    # Counts about the mark: what is hot is told exactly, whatever the sketch has missed.
+    counts = [(k, n) for k, n in enumerate([99, 100, 101, 102, 2500])] + [(k, 1) for k in range(10, 9000)]
+    many = spark.createDataFrame(counts, "k int, n int").selectExpr("k", "explode(sequence(1, n))").repartition(9)
+    hot = hot_groups(many, F.col("k"), tf.SkewPolicy(hot_rows=100, max_hot=128)).collect()
+    assert sorted((r["__g"], r["__rows"]) for r in hot) == [(2, 101), (3, 102), (4, 2500)]
+    assert hot_groups(many.limit(0), F.col("k"), tf.SkewPolicy()).count() == 0
+
+
 def test_hot_partitions_are_cut_evenly(spark):
     from pyspark.sql import functions as F
 
