@@ -25,11 +25,11 @@ GRAM = 24
 SHALLOW = 24
 #: Bytes of a text whose anchors are found at a time; places in it must fit in 24 bits.
 CHUNK = 1 << 16
-#: An anchor with more occurrences than this is dealt out string by string.
+#: An anchor with more occurrences than this is dealt out in smaller groups.
 HOT = 4096
 #: Copies of one context are looked for in so many parts.
 PARTS = 16
-#: Starts of such an anchor that are counted together first.
+#: Starts of such an anchor that go together.
 RUN = 16
 #: Suffixes sorted together in a task.
 SUFFIXES = 400_000
@@ -262,70 +262,100 @@ def sort_contexts(contexts: DataFrame, length: int) -> DataFrame:
     return map_arrow(picked.repartition("anchor").sortWithinPartitions("anchor"), run, schema)
 
 
-def hot_strings(contexts: DataFrame, length: int) -> DataFrame:
-    """Spans as of :func:`sort_contexts` for anchors with very many contexts.
+def smaller_groups(contexts: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Contexts of anchors that have very many, as groups that a task can sort.
 
-    A group that may be as large as the corpus can't be sorted in one task. Its
-    contexts are cut into runs of starts, aligned at the anchor. Runs are counted by
-    a 128-bit hash of their bytes: those that occur twice are repeated as a whole. Of
-    each kind of run one is taken apart, and its strings counted in the same way.
-    Counts are combined before the shuffle; adaptive execution splits a hot hash.
+    A context is cut into runs of at most ``RUN`` starts, aligned at the anchor. Equal runs
+    are repeated as a whole; they are the first result, as spans. One of each kind goes
+    on with those that have the same core, the bytes which all strings of a run have in
+    common: only such runs can share a string. A core with very many kinds is taken apart
+    into strings, which go on with their equals, in as many parts as they need. The second
+    result is of the form that :func:`sort_contexts` takes, with those groups as anchors.
     """
     ids = contexts.select("id", "th").schema
-    run_schema = extend(ids, "start bigint, many int, h1 bigint, h2 bigint, bytes binary")
+    run_schema = extend(ids, "place bigint, h1 bigint, h2 bigint, core bigint, bytes binary")
     run_kind = arrow_schema(run_schema)
-    string_schema = extend(ids, "start bigint, h1 bigint, h2 bigint")
+    string_schema = extend(ids, "place bigint, key bigint, bytes binary")
     string_kind = arrow_schema(string_schema)
+    common = max(length - RUN + 1, 0)
+
+    def cut_runs(id_, th, place, data):
+        many, behind = ((place >> 10) & 1023) + 1, place & 1023
+        k = 0
+        while k < many:
+            # Up to the next start whose distance to the anchor is a multiple of RUN.
+            size = min(many - k, (behind - k) % RUN + 1)
+            part = data[k : k + size - 1 + length]
+            h1, h2 = np.frombuffer(xxhash.xxh3_128_digest(part), "<i8").tolist()
+            step = (behind - k) // RUN
+            at = behind - step * RUN
+            core = xxhash.xxh3_64_intdigest(data[at : at + common], step) - (1 << 63)
+            first = (place >> 20) + k
+            yield id_, th, _pack(first, first + size - 1, first + behind - k), h1, h2, core, part
+            k += size
+
+    def cut_strings(id_, th, place, core, data):
+        many, behind = ((place >> 10) & 1023) + 1, place & 1023
+        for k in range(many):
+            part, first = data[k : k + length], (place >> 20) + k
+            key = xxhash.xxh3_64_intdigest(part, (core + behind - k) & 0xFFFFFFFF) - (1 << 63)
+            yield id_, th, _pack(first, first, first + behind - k), key, part
+
+    def over(step, kind: pa.Schema):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for low in range(0, batch.num_rows, 2000):
+                    rows = zip(*(c.to_pylist() for c in batch.slice(low, 2000).columns))
+                    out = [x for row in rows for x in step(*row)]
+                    if out:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(c, f.type) for c, f in zip(zip(*out), kind)], schema=kind
+                        )
 
-    def hashed(data: bytes) -> list[int]:
-        return np.frombuffer(xxhash.xxh3_128_digest(data), "<i8").tolist()
-
-    def batch_of(rows: list[tuple], kind: pa.Schema) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], schema=kind)
+        return run
 
-    def cut_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 2000):
-                out = []
-                for id_, th, place, data in zip(*(c.to_pylist() for c in batch.slice(low, 2000).columns)):
-                    many, behind = ((place >> 10) & 1023) + 1, place & 1023
-                    k = 0
-                    while k < many:
-                        # Up to the next start whose distance to the anchor is a multiple of RUN.
-                        size = min(many - k, (behind - k) % RUN + 1)
-                        part = data[k : k + size - 1 + length]
-                        out.append((id_, th, (place >> 20) + k, size, *hashed(part), part))
-                        k += size
-                if out:
-                    yield batch_of(out, run_kind)
-
-    def cut_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 2000):
-                out = [
-                    (id_, th, start + k, *hashed(data[k : k + length]))
-                    for id_, th, start, many, data in zip(*(c.to_pylist() for c in batch.slice(low, 2000).columns))
-                    for k in range(many)
-                ]
-                if out:
-                    yield batch_of(out, string_kind)
-
-    runs = materialise(map_arrow(contexts.select("id", "th", "place", "bytes"), cut_runs, run_schema))
+    picked = contexts.select("id", "th", "place", "bytes")
+    runs = materialise(map_arrow(picked, over(cut_runs, run_kind), run_schema))
     kinds = materialise(
         runs.groupBy("h1", "h2").agg(
-            F.count("*").alias("n"), F.min(F.struct("id", "th", "start", "many", "bytes")).alias("of")
+            F.count("*").alias("n"), F.min(F.struct("id", "th", "place", "core", "bytes")).alias("of")
         )
     )
     twice = kinds.where("n > 1").select("h1", "h2")
-    whole = runs.join(twice.hint("merge"), ["h1", "h2"]).select(
-        "id", "th", "start", (F.col("start") + F.col("many") - 1 + length).alias("stop")
+    whole = _whole(runs.join(twice.hint("merge"), ["h1", "h2"]), length)
+
+    one = kinds.select("of.*")
+    shared = materialise(one.groupBy("core").agg(F.count("*").alias("n")).where("n > 1"))
+    grouped = materialise(one.join(shared.hint("merge"), "core"))
+    near = grouped.where(F.col("n") <= HOT).withColumnRenamed("core", "anchor")
+    far = grouped.where(F.col("n") > HOT).select("id", "th", "place", "core", "bytes")
+    strings = materialise(map_arrow(far, over(cut_strings, string_kind), string_schema))
+    # The equals of a string are sorted in parts, to each of which one of them is added, so
+    # that none is alone among others in its part.
+    parts = F.greatest(F.lit(1).cast("bigint"), F.expr(f"n div {HOT}"))
+    equal = materialise(
+        strings.groupBy("key")
+        .agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "place", "bytes")).alias("one"))
+        .where("n > 1")
+        .withColumn("parts", parts)
     )
-    strings = map_arrow(kinds.select("of.*"), cut_strings, string_schema)
-    again = strings.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    single = strings.join(materialise(again).hint("merge"), ["h1", "h2"]).select(
-        "id", "th", "start", (F.col("start") + length).alias("stop")
+    own = F.pmod(F.xxhash64("id", "th", "place"), F.col("parts"))
+    members = strings.join(equal.select("key", "parts").hint("merge"), "key").withColumn("part", own)
+    added = equal.where("parts > 1").select("key", "parts", "one.*").withColumn("own", own)
+    added = added.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    dealt = members.select("key", "part", "id", "th", "place", "bytes").unionByName(
+        added.where("part <> own").select("key", "part", "id", "th", "place", "bytes")
     )
-    return whole.unionByName(single)
+    dealt = dealt.withColumn("anchor", F.xxhash64("key", "part"))
+    columns = ["anchor", "id", "th", "place", "bytes"]
+    return whole, near.select(columns).unionByName(dealt.select(columns))
+
+
+def _whole(rows: DataFrame, length: int) -> DataFrame:
+    """The spans of rows of which all strings are repeated."""
+    first = F.shiftright("place", 20)
+    last = first + F.shiftright("place", 10).bitwiseAND(1023)
+    return rows.select("id", "th", first.alias("start"), (last + length).alias("stop"))
 
 
 def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
@@ -342,11 +372,6 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     # shuffle stands between the join and its inputs.
     kept = materialise(found.join(materialise(twice).hint("merge"), "anchor"))
 
-    def whole(rows: DataFrame) -> DataFrame:
-        first = F.shiftright("place", 20)
-        last = first + F.shiftright("place", 10).bitwiseAND(1023)
-        return rows.select("id", "th", first.alias("start"), (last + length).alias("stop"))
-
     # Copies of a context are found in parts first, so that a context that a large
     # share of all texts has goes on as one row for each part.
     part = F.pmod(F.xxhash64("id", "th"), F.lit(PARTS))
@@ -403,12 +428,14 @@ def repeated_spans(texts: DataFrame, length: int) -> DataFrame:
     same = F.col("id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th"))
     asked = texts.hint("merge").join(wanted, same).select("id", "th", "text", "wanted")
     cuts = materialise(map_arrow(asked, cut, schema))
+    columns = ["anchor", "id", "th", "place", "bytes"]
+    of_runs, smaller = smaller_groups(cuts.where("hot"), length)
     return (
-        whole(kept.where("alike"))
-        .unionByName(whole(unlike.where("many > 1")))
-        .unionByName(whole(scattered))
-        .unionByName(sort_contexts(cuts.where("NOT hot"), length))
-        .unionByName(hot_strings(cuts.where("hot"), length))
+        _whole(kept.where("alike"), length)
+        .unionByName(_whole(unlike.where("many > 1"), length))
+        .unionByName(_whole(scattered, length))
+        .unionByName(of_runs)
+        .unionByName(sort_contexts(cuts.where("NOT hot").select(columns).unionByName(smaller), length))
     )
 
 
@@ -428,13 +455,13 @@ def remove_repeats(
     """
     rows = df.select(
         column(id_col).alias("id"),
-        F.hash(column(text_col)).alias("th"),
+        F.xxhash64(column(text_col)).alias("th"),
         F.coalesce(column(text_col), F.lit("")).alias("text"),
         F.struct(F.lit(1).alias("_"), *[column(c).alias(f"c{i}") for i, c in enumerate(keep)]).alias("kept_columns"),
     )
     texts = rows.select("id", "th", "text")
     spans = repeated_spans(texts, length)
-    spans = spans.groupBy("id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
+    spans = spans.groupBy("id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("found"))
     spans = spans.withColumnsRenamed({"id": "s_id", "th": "s_th"})
     same = F.col("id").eqNullSafe(F.col("s_id")) & (F.col("th") == F.col("s_th"))
     joined = rows.hint("merge").join(spans, same, "left").select("id", "text", "found", "kept_columns")

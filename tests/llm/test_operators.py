@@ -99,8 +99,19 @@ def test_repeats_by_brute_force(spark, odd, empty, monkeypatch):
     rows = [(k, long_text(100 + k, r.randint(1, 60)) + r.choice(passages)[r.randint(0, 50) :] + "a" * r.randint(0, 300)) for k in range(40)]
     mixed = spark.createDataFrame(rows, "doc_id bigint, text string")
     check(mixed, 200)
-    monkeypatch.setattr(suffix_dedup, "HOT", 3)
-    check(mixed, 200)
+    # One passage among many surroundings, near and far: a hot anchor, hot cores, hot strings.
+    around = [(k, f"{long_text(k, 3)[: r.choice([0, 5, 20])]}{COPY[:230]}{r.choice('abc')}{long_text(900 + k, 4)[: r.choice([0, 3, 30])]}") for k in range(80)]
+    hot = spark.createDataFrame(around, "doc_id bigint, text string")
+    for size, run in ((3, 16), (8, 4), (30, 16)):
+        monkeypatch.setattr(suffix_dedup, "HOT", size)
+        monkeypatch.setattr(suffix_dedup, "RUN", run)
+        check(mixed, 200)
+        check(hot, 200)
+        check(hot, 40)
+    monkeypatch.setattr(suffix_dedup, "HOT", 4096)
+    # Very many equal rows, of null ids too, whose spans are the same.
+    equal = spark.createDataFrame([(None, COPY * 3 + "x")] * 300 + [(1, COPY * 3 + "x"), (2, "y" + COPY)], "doc_id bigint, text string")
+    check(equal, 200)
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
