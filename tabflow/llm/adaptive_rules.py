@@ -154,8 +154,10 @@ def limits(
     """A limit per language, source and measure, in one column per measure.
 
     The limit is the quantile at ``share`` times a factor plus a margin
-    (``slack``). A language and source with fewer than ``least_rows`` rows take the
-    quantile over the whole language, and a language with fewer that over all rows.
+    (``slack``). The quantile is the mean of a language and source's own and that of the
+    whole language, weighted by their rows against ``least_rows``; that of the language is
+    the mean of its own and that of all rows in the same way. So small groups take after
+    larger ones, without a step at any number of rows.
     """
     fine = materialise(sketches(shared, "lang", "source"))
     broad = fine.groupBy("lang", "measure", "bucket").agg(F.sum("n").alias("n"))
@@ -168,11 +170,8 @@ def limits(
     joined = own.join(lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("m"))).join(
         every, F.col("measure") == F.col("e")
     )
-    chosen = (
-        F.when(F.col("rows") >= least_rows, F.col("q"))
-        .when(F.col("l_rows") >= least_rows, F.col("l_q"))
-        .otherwise(F.col("e_q"))
-    )
+    lang_q = (F.col("l_rows") * F.col("l_q") + least_rows * F.col("e_q")) / (F.col("l_rows") + least_rows)
+    chosen = (F.col("rows") * F.col("q") + least_rows * lang_q) / (F.col("rows") + least_rows)
     return joined.groupBy("lang", "source").agg(
         *[
             F.max(F.when(F.col("measure") == m, chosen * slack[m][0] + slack[m][1])).alias(f"{m}_limit")

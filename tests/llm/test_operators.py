@@ -318,3 +318,37 @@ def test_adaptive_limits_reject_repetition_under_the_fixed_cutoff(spark):
     found = {r.id: r for r in adaptive_rules.adaptive_quality(df).collect()}
     assert not any(r.base_failed for r in found.values())
     assert {k for k, r in found.items() if not r.kept} == {1000, 1002}
+
+
+def test_limits_change_little_with_a_row(spark):
+    """No step at the number of rows from which a group's own quantiles count."""
+    r = random.Random(12)
+
+    def limit_of(n):
+        rows = [(k, " ".join("#" * (k % 3) + f"word{r.randint(0, 999)}" for _ in range(60)), "en", "big") for k in range(400)]
+        rows += [(1000 + k, " ".join("###" + f"w{k}{j}" for j in range(60)), "en", "small") for k in range(n)]
+        df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+        shared = adaptive_rules.shares(adaptive_rules.measure(df, "doc_id", "text", "lang", "source"))
+        found = adaptive_rules.limits(shared, 0.75, adaptive_rules.SLACK, 200)
+        return {x.source: x.symbol_share_limit for x in found.collect()}
+
+    few, less, more, many = (limit_of(n)["small"] for n in (5, 199, 201, 390))
+    assert few < less < many and abs(less - more) < 0.02 * less
+
+
+def test_archives_go_to_the_default_file_system(spark, tmp_path):
+    assert warc.qualified(spark, str(tmp_path)) == f"file://{tmp_path}"
+    assert warc.qualified(spark, f"file:{tmp_path}") == warc.qualified(spark, f"file://{tmp_path}") == f"file://{tmp_path}"
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.defaultFS", "viewfs://cluster/")
+    conf.set("fs.viewfs.mounttable.cluster.link./data", f"file://{tmp_path}")
+    try:
+        assert warc.qualified(spark.newSession(), "/data/warc") == "viewfs://cluster/data/warc"
+    finally:
+        conf.set("fs.defaultFS", before or "file:///")
+
+
+def test_packing_broadcasts_no_offsets(spark):
+    df = spark.range(1000).selectExpr("id AS doc_id", "id % 77 AS n_tokens")
+    assert "BroadcastHashJoin" not in packing.pack(df)._jdf.queryExecution().executedPlan().toString()
