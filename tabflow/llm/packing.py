@@ -159,7 +159,9 @@ def pack(
     firsts, capacity_of = (np.array(x, np.int64) for x in (zip(*final) if final else ((), ())))
 
     rank = F.row_number().over(Window.partitionBy("length", "part").orderBy("id", "piece")) - 1
-    ranked = cut.withColumn("rank", rank).join(F.broadcast(offsets), ["length", "part"]).select(
+    # Both are dealt out by length and part, so a merge join needs no more exchange for the
+    # pieces; the offsets are as many as there are lengths times PARTS, too many to broadcast.
+    ranked = cut.withColumn("rank", rank).join(offsets.hint("merge"), ["length", "part"]).select(
         "id", "piece", "start", "length", (F.col("rank") + F.col("before")).cast("bigint").alias("rank")
     )
     out = extend(ranked.drop("rank").schema, "bin_id bigint, capacity int, offset int")
