@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabflow.llm.shared import arrow_schema, column, map_arrow, materialise, shared_folder
 
@@ -262,6 +263,15 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     return map_arrow(manifest.select("path", "records").repartition(tasks, "path"), run, schema)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` as a URI. A path without a scheme is on the default file system of the
+    cluster, where Spark puts its own tables, and not on each machine's disk."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    uri = store.makeQualified(path).toString()
+    return uri.replace("file:/", "file:///", 1) if re.match("file:/[^/]", uri) else uri
+
+
 def archive_pages(
     pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url",
     payload_col: str = "html", least_bytes: int = 1000,
@@ -270,8 +280,6 @@ def archive_pages(
 
     A record for each row, repeated rows included; no rows give no archive.
     """
-    target = folder or f"{shared_folder(pages.sparkSession)}/warc"
-    if "://" not in target and not target.startswith("file:"):
-        target = "file://" + target
+    target = qualified(pages.sparkSession, folder or f"{shared_folder(pages.sparkSession)}/warc")
     manifest = write_archives(plan_records(pages, id_col, url_col, payload_col, least_bytes), target)
     return read_archives(manifest, target)
