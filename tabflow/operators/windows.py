@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from ..functions.aggregate_functions import WINDOWED, aggregate, check_function
-from ..functions.expressions import as_list, check_unique, column, group_struct, hashable
+from ..functions.expressions import as_list, check_unique, column, group_struct, hashable, name_folder
 from ..functions.skew import (
     DEFAULT_SKEW,
     SkewPolicy,
@@ -25,6 +27,36 @@ NO_BOUND = Window.unboundedFollowing
 WIDE = 64
 
 
+@dataclass(frozen=True)
+class _Added:
+    """A column that a window adds: ``func`` of ``col``, under the name ``alias``."""
+
+    func: str
+    col: str
+    alias: str
+    kind: T.DataType
+    exact: bool
+    """See :func:`_adds_exactly`."""
+    to_double: bool
+    """Whether a mean adds up doubles that the column's values have to be made first."""
+
+    def result(self) -> Column:
+        return aggregate(self.func, column(self.col))
+
+
+@dataclass(frozen=True)
+class _Chain:
+    """Windows that follow each other over one frame: the input of the first, and what they add."""
+
+    source: DataFrame
+    frame: tuple
+    added: tuple[_Added, ...]
+
+
+#: The chains whose results are still in use.
+_CHAINS: WeakKeyDictionary[DataFrame, _Chain] = WeakKeyDictionary()
+
+
 def window(
     df: DataFrame,
     partition_by: str | Iterable[str] | None,
@@ -45,6 +77,10 @@ def window(
     without an end only sums and means of decimals with 38 digits and many of them after
     the point are not: adding partial sums could round them, see :func:`_adds_exactly`.
     Column names that begin with two underscores raise.
+
+    A window over the result of another one with the same partitions, order, frame and
+    skew is computed together with it from the input of both: the plan reads that as
+    often as for one of them, and places and sorts the rows once for all.
     """
     check_function(func, WINDOWED)
     parts, order = as_list(partition_by), as_list(order_by)
@@ -55,25 +91,58 @@ def window(
         raise ValueError(f"Empty frame: {rows}")
     alias = alias or f"{func}_{col}"
     check_unique(df, [c for c in df.columns] + [alias], "window")
-
-    result = aggregate(func, column(col))
-    sort = [column(o) for o in order]
-    plain = Window.partitionBy(*map(column, parts)).orderBy(*sort).rowsBetween(low, high)
     reserved = [c for c in (*df.columns, alias) if c.startswith("__")]
     if reserved:
         raise ValueError(f"Reserved column names: {reserved}")
+
+    frame = (tuple(parts), tuple(order), low, high, skew)
+    chain = _CHAINS.get(df)
+    fold = name_folder(df)
+    if chain is None or chain.frame != frame or fold(col) in (fold(x.alias) for x in chain.added):
+        chain = _Chain(df, frame, ())
+    added = (*chain.added, _added(df, func, col, alias))
+    result = chain.source
+    # Sums that must stay in one task are computed after the others.
+    for exact in (True, False):
+        some = [x for x in added if x.exact == exact]
+        if some:
+            result = _add(result, parts, order, some, low, high, skew)
+    if result.columns != [*df.columns, alias]:
+        result = result.select(*map(column, df.columns), column(alias))
+    _CHAINS[result] = _Chain(chain.source, frame, added)
+    return result
+
+
+def _added(df: DataFrame, func: str, col: str, alias: str) -> _Added:
+    value = df.select(column(col)).schema[0].dataType
+    kind = df.select(aggregate(func, column(col)).alias(alias)).schema[0].dataType
+    to_double = func in ("mean", "avg") and isinstance(kind, T.DoubleType) and not isinstance(value, T.DoubleType)
+    return _Added(func, col, alias, kind, _adds_exactly(df, func, col), to_double)
+
+
+def _add(
+    df: DataFrame,
+    parts: list[str],
+    order: list[str],
+    added: list[_Added],
+    low: int,
+    high: int,
+    skew: SkewPolicy,
+) -> DataFrame:
+    """``df`` with columns over one frame, all of them exact or none, see :func:`_adds_exactly`."""
+    sort = [column(o) for o in order]
+    plain = Window.partitionBy(*map(column, parts)).orderBy(*sort).rowsBetween(low, high)
     unbounded = low <= -NO_BOUND or high >= NO_BOUND
-    exact = _adds_exactly(df, func, col)
+    exact = added[0].exact
     wide = not unbounded and high - low >= WIDE and exact
-    kind = df.select(result.alias(alias)).schema[0].dataType
-    output = [*map(column, df.columns), column(alias)]
+    output = [*map(column, df.columns), *[column(x.alias) for x in added]]
 
     def whole_partitions(rows: DataFrame) -> DataFrame:
         if not wide:
-            return rows.withColumn(alias, result.over(plain))
+            return rows.withColumns({x.alias: x.result().over(plain) for x in added})
         by = Window.partitionBy(*map(column, parts))
         rows = rows.withColumn("__pos", F.row_number().over(by.orderBy(*sort)) - F.lit(1).cast("long"))
-        return _block_frames(rows, parts, func, column(col), kind, alias, low, high)
+        return _block_frames(rows, parts, added, low, high)
 
     if is_small(df, skew) or unbounded and not exact:
         return whole_partitions(df).select(*output)
@@ -83,19 +152,18 @@ def window(
 
     def split(rows: DataFrame) -> DataFrame:
         if low <= -NO_BOUND and high >= NO_BOUND:
-            totals = rows.groupBy("__g").agg(result.alias(alias))
+            totals = rows.groupBy("__g").agg(*[x.result().alias(x.alias) for x in added])
             return rows.join(totals, "__g").select(*output)
         placed = _placed(rows, sort, tie, skew)
         if unbounded:
-            framed = _split_open_frames(placed, func, column(col), kind, alias, low, high)
+            framed = _split_open_frames(placed, added, low, high)
         elif wide:
             unit = F.greatest("__unit", F.lit(4 * (max(high, 0) + max(-low, 0))).cast("long"))
             copied = _copied(placed.withColumn("__unit", unit), low, high)
-            by = ["__g", "__block"]
-            framed = _block_frames(copied, by, func, column(col), kind, alias, low, high)
+            framed = _block_frames(copied, ["__g", "__block"], added, low, high)
             framed = framed.where("__block = __pos div __unit")
         else:
-            framed = _split_frames(placed, result, alias, low, high)
+            framed = _split_frames(placed, added, low, high)
         return framed.select(*output)
 
     if not parts:
@@ -138,17 +206,16 @@ def _placed(rows: DataFrame, sort: list[Column], tie: Column, skew: SkewPolicy)
     )
 
 
-def _split_frames(
-    placed: DataFrame, result: Column, alias: str, low: int, high: int
-) -> DataFrame:
-    """The frame aggregate for hot partitions, each cut into blocks of rows.
+def _split_frames(placed: DataFrame, added: list[_Added], low: int, high: int) -> DataFrame:
+    """The frame aggregates for hot partitions, each cut into blocks of rows.
 
     Blocks of ``__unit`` positions are windowed apart; a row is copied to the
     blocks in whose frames it takes part, and each block returns only its own rows.
     """
     copied = _copied(placed, low, high)
     frame = Window.partitionBy("__g", "__block").orderBy("__pos").rowsBetween(low, high)
-    return copied.withColumn(alias, result.over(frame)).where("__block = __pos div __unit")
+    framed = copied.withColumns({x.alias: x.result().over(frame) for x in added})
+    return framed.where("__block = __pos div __unit")
 
 
 def _copied(placed: DataFrame, low: int, high: int) -> DataFrame:
@@ -160,15 +227,46 @@ def _copied(placed: DataFrame, low: int, high: int) -> DataFrame:
     return placed.withColumn("__block", F.explode(F.sequence(first, last)))
 
 
-def _partials(func: str, value: Column, kind: T.DataType) -> tuple[dict[str, str], dict[str, str], Column]:
-    """What is aggregated of parts of a frame, how the parts are merged, and of what."""
-    if func in ("mean", "avg"):
-        parts = {"__a": "sum", "__n": "count"}
-        if isinstance(kind, T.DoubleType):
-            value = value.cast("double")
-    else:
-        parts = {"__a": func}
-    return parts, {"__a": "sum" if func in ("count", "mean", "avg") else func, "__n": "sum"}, value
+@dataclass(frozen=True)
+class _Part:
+    """What is aggregated of a part of a frame; a mean has two of them."""
+
+    func: str
+    col: str
+    to_double: bool = False
+
+    def result(self) -> Column:
+        value = column(self.col)
+        return aggregate(self.func, value.cast("double") if self.to_double else value)
+
+    @property
+    def merge(self) -> str:
+        """How the aggregates of two parts become one."""
+        return "sum" if self.func == "count" else self.func
+
+
+def _parts_of(x: _Added) -> list[_Part]:
+    if x.func in ("mean", "avg"):
+        return [_Part("sum", x.col, x.to_double), _Part("count", x.col)]
+    return [_Part(x.func, x.col)]
+
+
+def _partials(added: list[_Added]) -> dict[str, _Part]:
+    """The parts of all ``added`` columns, each once, by the name of its column."""
+    return {f"__a{i}": p for i, p in enumerate(dict.fromkeys(p for x in added for p in _parts_of(x)))}
+
+
+def _results(
+    added: list[_Added], parts: dict[str, _Part], total: Callable[[str], Column]
+) -> dict[str, Column]:
+    """The ``added`` columns from the totals of their parts."""
+    names = {p: c for c, p in parts.items()}
+
+    def found(x: _Added) -> Column:
+        a, *n = (total(names[p]) for p in _parts_of(x))
+        return (F.when(n[0] > 0, a / n[0]) if n else a).cast(x.kind)
+
+    return {x.alias: found(x) for x in added}
 
 
 def _merged(how: str, a: Column, b: Column) -> Column:
@@ -179,14 +277,7 @@ def _merged(how: str, a: Column, b: Column) -> Column:
 
 
 def _block_frames(
-    rows: DataFrame,
-    by: list[str],
-    func: str,
-    value: Column,
-    kind: T.DataType,
-    alias: str,
-    low: int,
-    high: int,
+    rows: DataFrame, by: list[str], added: list[_Added], low: int, high: int
 ) -> DataFrame:
     """Frames of many rows with as much work per row as frames of a few.
 
@@ -196,7 +287,7 @@ def _block_frames(
     and backwards, of the rows at the frame's ends. All is done in one shuffle, by ``by``.
     """
     width = high - low + 1
-    parts, merge, value = _partials(func, value, kind)
+    parts = _partials(added)
     group = Window.partitionBy(*map(column, by))
     # First a window over the whole group: its shuffle serves those over blocks too.
     rows = rows.withColumn("__last", F.max("__pos").over(group))
@@ -205,10 +296,8 @@ def _block_frames(
     running = (Window.unboundedPreceding, Window.currentRow)
     forwards = block.orderBy("__pos").rowsBetween(*running)
     backwards = block.orderBy(F.col("__pos").desc()).rowsBetween(*running)
-    for c, f in parts.items():
-        rows = rows.withColumn(f"__to{c}", aggregate(f, value).over(forwards))
-    for c, f in parts.items():
-        rows = rows.withColumn(f"__from{c}", aggregate(f, value).over(backwards))
+    rows = rows.withColumns({f"__to{c}": p.result().over(forwards) for c, p in parts.items()})
+    rows = rows.withColumns({f"__from{c}": p.result().over(backwards) for c, p in parts.items()})
 
     order = group.orderBy("__pos")
     everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -225,24 +314,18 @@ def _block_frames(
     def total(c: str) -> Column:
         begin = F.col(f"__begin{c}")
         end = F.when(over, F.col(f"__close{c}")).otherwise(F.col(f"__end{c}"))
-        none = F.lit(0).cast("long") if parts[c] == "count" else F.lit(None)
+        none = F.lit(0).cast("long") if parts[c].func == "count" else F.lit(None)
         return (
             F.when((a > F.col("__last")) | (b < 0), none)
             .when(a < 0, end)
             .when(one_block, begin)
-            .otherwise(_merged(merge[c], begin, end))
+            .otherwise(_merged(parts[c].merge, begin, end))
         )
 
-    if "__n" in parts:
-        framed = F.when(total("__n") > 0, total("__a") / total("__n"))
-    else:
-        framed = total("__a")
-    return rows.withColumn(alias, framed.cast(kind))
+    return rows.withColumns(_results(added, parts, total))
 
 
-def _split_open_frames(
-    placed: DataFrame, func: str, value: Column, kind: T.DataType, alias: str, low: int, high: int
-) -> DataFrame:
+def _split_open_frames(placed: DataFrame, added: list[_Added], low: int, high: int) -> DataFrame:
     """Frames from a partition's first row on, or up to its last, for hot partitions.
 
     A block's own window starts at the block, or, for frames that end before their
@@ -252,7 +335,7 @@ def _split_open_frames(
     if high >= NO_BOUND:  # the same from the other side
         placed = placed.withColumn("__pos", F.col("__total") - 1 - F.col("__pos"))
         high = -low
-    parts, merge, value = _partials(func, value, kind)
+    parts = _partials(added)
     cut = placed.withColumns(
         {
             "__own": F.expr("__pos div __unit"),
@@ -264,23 +347,21 @@ def _split_open_frames(
     copied = cut.withColumn("__block", F.explode(F.sequence(first, last)))
     frame = Window.partitionBy("__g", "__block").orderBy("__pos")
     frame = frame.rowsBetween(Window.unboundedPreceding, high)
-    near = copied.withColumns({c: aggregate(f, value).over(frame) for c, f in parts.items()})
+    near = copied.withColumns({c: p.result().over(frame) for c, p in parts.items()})
     near = near.where("__block = __own")
 
     blocks = cut.groupBy("__g", "__own", "__back").agg(
-        *[aggregate(f, value).alias(c) for c, f in parts.items()]
+        *[p.result().alias(c) for c, p in parts.items()]
     )
     before = Window.partitionBy("__g").orderBy("__own").rowsBetween(Window.unboundedPreceding, -1)
     far = blocks.select(
         "__g",
         (F.col("__own") + F.col("__back")).alias("__block"),
-        *[aggregate(merge[c], F.col(c)).over(before).alias(f"__far{c}") for c in parts],
+        *[aggregate(p.merge, F.col(c)).over(before).alias(f"__far{c}") for c, p in parts.items()],
     )
 
     def total(c: str) -> Column:
-        return _merged(merge[c], F.col(c), F.col(f"__far{c}").cast(near.schema[c].dataType))
+        return _merged(parts[c].merge, F.col(c), F.col(f"__far{c}").cast(near.schema[c].dataType))
 
-    found = total("__a")
-    if "__n" in parts:
-        found = F.when(total("__n") > 0, found / total("__n"))
-    return near.join(far, ["__g", "__block"], "left").withColumn(alias, found.cast(kind))
+    joined = near.join(far, ["__g", "__block"], "left")
+    return joined.withColumns(_results(added, parts, total))

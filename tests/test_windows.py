@@ -270,3 +270,49 @@ def test_decimals_of_38_digits(spark, kind, split):
             if frame[0] != -100:
                 cut = "__bucket" in out._jdf.queryExecution().optimizedPlan().toString()
                 assert cut == (func == "sum" if split is None else split)
+
+
+def leaves(df):
+    """How often a plan reads its inputs."""
+    todo, total = [df._jdf.queryExecution().analyzed()], 0
+    while todo:
+        children = todo.pop().children()
+        total += children.isEmpty()
+        todo += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+@pytest.mark.parametrize("partition, frame", [("k", (-3, 0)), ("k", (Window.unboundedPreceding, -3))])
+def test_windows_over_one_frame_read_their_input_once(spark, partition, frame):
+    """Several windows one after the other take a plan as large as one, with the same results."""
+    data = [(i % 7 % 2, i * 37 % 300, None if i % 11 == 0 else i) for i in range(300)]
+    df = spark.createDataFrame(data, "k int, t int, v bigint").repartition(4)
+    policy = tf.SkewPolicy(small_bytes=0, hot_rows=40)
+    call = {"rows": frame, "skew": policy, "col": "v"}
+    funcs = ("sum", "max", "count", "mean", "min")
+    one = tf.window(df, partition, "t", func="sum", **call)
+    out = df
+    for func in funcs:
+        out = tf.window(out, partition, "t", func=func, **call)
+    assert out.columns == ["k", "t", "v", *(f"{f}_v" for f in funcs)]
+    assert leaves(out) <= leaves(one) + 2
+    got = sorted(map(tuple, out.collect()), key=lambda r: r[1])
+    data = [(k if partition else 0, t, v) for k, t, v in data]
+    low, high = max(frame[0], -5000), min(frame[1], 5000)
+    for i, func in enumerate(funcs):
+        expected = sorted(brute(data, func, low, high), key=lambda r: r[1])
+        assert [r[3 + i] for r in got] == pytest.approx([r[3] for r in expected])
+
+
+def test_windows_over_results_and_of_mixed_exactness(spark):
+    """A window over another's result, and sums that can't be split beside others."""
+    df = spark.range(60).selectExpr("id % 2 AS k", "id AS t", "id AS v", "CAST(id / 7 AS DECIMAL(38,12)) AS d")
+    policy = tf.SkewPolicy(small_bytes=0, hot_rows=10)
+    call = {"rows": (Window.unboundedPreceding, 0), "skew": policy}
+    out = tf.window(df, "k", "t", func="sum", col="d", alias="a", **call)
+    out = tf.window(out, "k", "t", func="count", col="v", alias="b", **call)
+    out = tf.window(out, "k", "t", func="sum", col="B", alias="c", **call)
+    w = Window.partitionBy("k").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    plain = df.select("*", F.sum("d").over(w).alias("a"), F.count("v").over(w).alias("b"))
+    plain = plain.withColumn("c", F.sum("b").over(w))
+    assert out.schema == plain.schema and rows(out) == rows(plain)
