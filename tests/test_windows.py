@@ -282,7 +282,10 @@ def leaves(df):
     return total
 
 
-@pytest.mark.parametrize("partition, frame", [("k", (-3, 0)), ("k", (-90, 3)), ("k", (Window.unboundedPreceding, -3))])
+@pytest.mark.parametrize(
+    "partition, frame",
+    [("k", (-3, 0)), ("k", (-90, 3)), ("k", (Window.unboundedPreceding, -3)), (None, (-90, 3))],
+)
 def test_windows_over_one_frame_read_their_input_once(spark, partition, frame):
     """Several windows one after the other take a plan as large as one, with the same results."""
     data = [(i % 7 % 2, i * 37 % 300, None if i % 11 == 0 else i) for i in range(300)]
