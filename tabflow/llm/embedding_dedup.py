@@ -22,6 +22,8 @@ BLOCK = 16
 GRID = 2
 #: Rows of a cell that one task compares: those at home in it, and those that visit.
 HOME, VISIT = 16_384, 65_536
+#: Rows at home and visitors compared at a time, so few that their distances stay in a processor's cache.
+ROWS, OTHERS = 256, 2048
 SLACK = 1e-9
 
 
@@ -75,16 +77,20 @@ def compare(nodes, vectors, weights, homes, size: int, cosine: float, block: int
     dims, budget = parts[block]
     low = rotated[:, dims].astype(np.float32)
     norms = (low * low).sum(axis=1)
+    # One product gives squared distances less the norm of the row at home.
+    ours = np.column_stack([-2 * low, np.ones_like(norms)])
+    theirs = np.ascontiguousarray(np.column_stack([low, norms]).T)
+    within = np.float32(budget + 1e-5) - norms
     here = np.flatnonzero(homes)
     linked = np.zeros(len(nodes))
     label = np.arange(len(nodes))
     edges: list[tuple[int, int]] = []
-    for a in range(0, len(here), 512):
-        rows = here[a : a + 512]
-        for b in range(len(here), len(nodes), 4096):
-            others = slice(b, b + 4096)
-            apart = norms[rows][:, None] + norms[others] - 2 * (low[rows] @ low[others].T)
-            i, j = np.nonzero(apart <= budget + 1e-5)
+    for a in range(0, len(here), ROWS):
+        rows = here[a : a + ROWS]
+        for b in range(len(here), len(nodes), OTHERS):
+            apart = ours[rows] @ theirs[:, b : b + OTHERS]
+            hits = np.flatnonzero(apart <= within[rows, None])
+            i, j = np.divmod(hits, apart.shape[1])
             i, j = rows[i], j + b
             keep = nodes[i] != nodes[j]
             i, j = i[keep], j[keep]
