@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
+from functools import reduce
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -44,6 +45,10 @@ class _Added:
         return aggregate(self.func, column(self.col))
 
 
+#: Adds columns over one frame to a share of a table's rows.
+_Share = Callable[[list[_Added]], DataFrame]
+
+
 @dataclass(frozen=True)
 class _Chain:
     """Windows that follow each other over one frame: the input of the first, and what they add."""
@@ -51,6 +56,8 @@ class _Chain:
     source: DataFrame
     frame: tuple
     added: tuple[_Added, ...]
+    shares: dict[bool, list[_Share]]
+    """The shares of ``source`` for exact columns and for others, made once for all windows."""
 
 
 #: The chains whose results are still in use.
@@ -80,7 +87,8 @@ def window(
 
     A window over the result of another one with the same partitions, order, frame and
     skew is computed together with it from the input of both: the plan reads that as
-    often as for one of them, and places and sorts the rows once for all.
+    often as for one of them, and places and sorts the rows once for all. That part of
+    the plan is made by the first window and taken over by the others.
     """
     check_function(func, WINDOWED)
     parts, order = as_list(partition_by), as_list(order_by)
@@ -99,17 +107,24 @@ def window(
     chain = _CHAINS.get(df)
     fold = name_folder(df)
     if chain is None or chain.frame != frame or fold(col) in (fold(x.alias) for x in chain.added):
-        chain = _Chain(df, frame, ())
+        chain = _Chain(df, frame, (), {})
     added = (*chain.added, _added(df, func, col, alias))
     result = chain.source
     # Sums that must stay in one task are computed after the others.
     for exact in (True, False):
         some = [x for x in added if x.exact == exact]
         if some:
-            result = _add(result, parts, order, some, low, high, skew)
+            first = result is chain.source
+            shares = chain.shares.get(exact) if first else None
+            if shares is None:
+                shares = _shares(result, parts, order, exact, low, high, skew)
+                if first:
+                    chain.shares[exact] = shares
+            output = [*map(column, result.columns), *[column(x.alias) for x in some]]
+            result = reduce(DataFrame.union, [share(some).select(*output) for share in shares])
     if result.columns != [*df.columns, alias]:
         result = result.select(*map(column, df.columns), column(alias))
-    _CHAINS[result] = _Chain(chain.source, frame, added)
+    _CHAINS[result] = _Chain(chain.source, frame, added, chain.shares)
     return result
 
 
@@ -120,58 +135,59 @@ def _added(df: DataFrame, func: str, col: str, alias: str) -> _Added:
     return _Added(func, col, alias, kind, _adds_exactly(df, func, col), to_double)
 
 
-def _add(
+def _shares(
     df: DataFrame,
     parts: list[str],
     order: list[str],
-    added: list[_Added],
+    exact: bool,
     low: int,
     high: int,
     skew: SkewPolicy,
-) -> DataFrame:
-    """``df`` with columns over one frame, all of them exact or none, see :func:`_adds_exactly`."""
+) -> list[_Share]:
+    """The shares of the rows of ``df`` that a frame's columns are added to apart.
+
+    All of these columns are ``exact`` or none, see :func:`_adds_exactly`. What doesn't
+    depend on them, such as the rows' positions, is planned here.
+    """
     sort = [column(o) for o in order]
     plain = Window.partitionBy(*map(column, parts)).orderBy(*sort).rowsBetween(low, high)
     unbounded = low <= -NO_BOUND or high >= NO_BOUND
-    exact = added[0].exact
     wide = not unbounded and high - low >= WIDE and exact
-    output = [*map(column, df.columns), *[column(x.alias) for x in added]]
 
-    def whole_partitions(rows: DataFrame) -> DataFrame:
+    def whole_partitions(rows: DataFrame) -> _Share:
         if not wide:
-            return rows.withColumns({x.alias: x.result().over(plain) for x in added})
+            return lambda added: rows.withColumns({x.alias: x.result().over(plain) for x in added})
         by = Window.partitionBy(*map(column, parts))
-        rows = rows.withColumn("__pos", F.row_number().over(by.orderBy(*sort)) - F.lit(1).cast("long"))
-        return _block_frames(rows, parts, added, low, high)
+        placed = rows.withColumn("__pos", F.row_number().over(by.orderBy(*sort)) - F.lit(1).cast("long"))
+        return lambda added: _block_frames(placed, parts, added, low, high)
 
     if is_small(df, skew) or unbounded and not exact:
-        return whole_partitions(df).select(*output)
+        return [whole_partitions(df)]
 
     grouped = df.withColumn("__g", group_struct(parts))
     tie = F.xxhash64(*hashable(df)) if hashable(df) else F.lit(0)
 
-    def split(rows: DataFrame) -> DataFrame:
+    def split(rows: DataFrame) -> _Share:
         if low <= -NO_BOUND and high >= NO_BOUND:
-            totals = rows.groupBy("__g").agg(*[x.result().alias(x.alias) for x in added])
-            return rows.join(totals, "__g").select(*output)
+            totals = rows.groupBy("__g")
+            return lambda added: rows.join(totals.agg(*[x.result().alias(x.alias) for x in added]), "__g")
         placed = _placed(rows, sort, tie, skew)
         if unbounded:
-            framed = _split_open_frames(placed, added, low, high)
-        elif wide:
-            unit = F.greatest("__unit", F.lit(4 * (max(high, 0) + max(-low, 0))).cast("long"))
-            copied = _copied(placed.withColumn("__unit", unit), low, high)
-            framed = _block_frames(copied, ["__g", "__block"], added, low, high)
-            framed = framed.where("__block = __pos div __unit")
-        else:
-            framed = _split_frames(placed, added, low, high)
-        return framed.select(*output)
+            return lambda added: _split_open_frames(placed, added, low, high)
+        if not wide:
+            copied = _copied(placed, low, high)
+            return lambda added: _split_frames(copied, added, low, high)
+        unit = F.greatest("__unit", F.lit(4 * (max(high, 0) + max(-low, 0))).cast("long"))
+        copied = _copied(placed.withColumn("__unit", unit), low, high)
+        own = "__block = __pos div __unit"
+        return lambda added: _block_frames(copied, ["__g", "__block"], added, low, high).where(own)
 
     if not parts:
-        return split(grouped.withColumn("__unit", whole_table_unit(df, skew)))
+        return [split(grouped.withColumn("__unit", whole_table_unit(df, skew)))]
     grouped = grouped.withColumn("__h", F.xxhash64("__g"))
     hot = F.broadcast(likely_hot(grouped.select("__h"), skew))
     whole = whole_partitions(grouped.join(hot, "__h", "left_anti"))
-    return whole.select(*output).union(split(grouped.join(hot, "__h").drop("__h")))
+    return [whole, split(grouped.join(hot, "__h").drop("__h"))]
 
 
 def _adds_exactly(df: DataFrame, func: str, col: str) -> bool:
@@ -206,13 +222,12 @@ def _placed(rows: DataFrame, sort: list[Column], tie: Column, skew: SkewPolicy)
     )
 
 
-def _split_frames(placed: DataFrame, added: list[_Added], low: int, high: int) -> DataFrame:
+def _split_frames(copied: DataFrame, added: list[_Added], low: int, high: int) -> DataFrame:
     """The frame aggregates for hot partitions, each cut into blocks of rows.
 
-    Blocks of ``__unit`` positions are windowed apart; a row is copied to the
+    Blocks of ``__unit`` positions are windowed apart; a row has been copied to the
     blocks in whose frames it takes part, and each block returns only its own rows.
     """
-    copied = _copied(placed, low, high)
     frame = Window.partitionBy("__g", "__block").orderBy("__pos").rowsBetween(low, high)
     framed = copied.withColumns({x.alias: x.result().over(frame) for x in added})
     return framed.where("__block = __pos div __unit")

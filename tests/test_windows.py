@@ -307,6 +307,22 @@ def test_windows_over_one_frame_read_their_input_once(spark, partition, frame):
         assert [r[3 + i] for r in got] == pytest.approx([r[3] for r in expected])
 
 
+@pytest.mark.parametrize("partition", ["k"])
+def test_long_windows_in_a_row_are_placed_once(spark, partition, monkeypatch):
+    """The plan that places the rows is made by the first window and shared, also by a join of two results."""
+    made = []
+    placed = windows._placed
+    monkeypatch.setattr(windows, "_placed", lambda *a: made.append(a) or placed(*a))
+    df = spark.range(300).selectExpr("id % 2 AS k", "id AS t", "id AS v")
+    call = {"rows": (-90, 3), "skew": tf.SkewPolicy(small_bytes=0, hot_rows=40), "col": "v"}
+    one = tf.window(df, partition, "t", func="sum", **call)
+    two = tf.window(one, partition, "t", func="max", **call)
+    two = tf.window(two, partition, "t", func="count", **call)
+    assert len(made) == 1
+    both = one.withColumnRenamed("sum_v", "s").join(two, ["k", "t", "v"])
+    assert both.count() == 300 and both.where("s <> sum_v").count() == 0
+
+
 def test_windows_over_results_and_of_mixed_exactness(spark):
     """A window over another's result, and sums that can't be split beside others."""
     df = spark.range(60).selectExpr("id % 2 AS k", "id AS t", "id AS v", "CAST(id / 7 AS DECIMAL(38,12)) AS d")
