@@ -307,7 +307,7 @@ def test_windows_over_one_frame_read_their_input_once(spark, partition, frame):
         assert [r[3 + i] for r in got] == pytest.approx([r[3] for r in expected])
 
 
-@pytest.mark.parametrize("partition", ["k"])
+@pytest.mark.parametrize("partition", ["k", None])
 def test_long_windows_in_a_row_are_placed_once(spark, partition, monkeypatch):
     """The plan that places the rows is made by the first window and shared, also by a join of two results."""
     made = []
