@@ -24,6 +24,8 @@ from ..functions.skew import (
 
 #: A frame's end from here on has no bound.
 NO_BOUND = Window.unboundedFollowing
+#: The frame of all rows of a partition.
+EVERYTHING = (Window.unboundedPreceding, Window.unboundedFollowing)
 #: Rows of a frame from which it is put together from the aggregates of blocks.
 WIDE = 64
 
@@ -158,7 +160,13 @@ def _shares(
         if not wide:
             return lambda added: rows.withColumns({x.alias: x.result().over(plain) for x in added})
         by = Window.partitionBy(*map(column, parts))
-        placed = rows.withColumn("__pos", F.row_number().over(by.orderBy(*sort)) - F.lit(1).cast("long"))
+        ordered = by.orderBy(*sort)
+        placed = rows.withColumns(
+            {
+                "__pos": F.row_number().over(ordered) - F.lit(1).cast("long"),
+                "__last": F.count(F.lit(1)).over(ordered.rowsBetween(*EVERYTHING)) - 1,
+            }
+        )
         return lambda added: _block_frames(placed, parts, added, low, high)
 
     if is_small(df, skew) or unbounded and not exact:
@@ -179,8 +187,13 @@ def _shares(
             return lambda added: _split_frames(copied, added, low, high)
         unit = F.greatest("__unit", F.lit(4 * (max(high, 0) + max(-low, 0))).cast("long"))
         copied = _copied(placed.withColumn("__unit", unit), low, high)
+        # The last position that has been copied to the block, as in _copied.
+        copied = copied.withColumn("__last", F.expr(f"least(__total, (__block + 1) * __unit + {max(high, 0)}L) - 1"))
+        # Without partitions __g is a literal, which Catalyst leaves out of some of these keys.
+        by = ["__g", "__block"] if parts else ["__block"]
+        copied = copied.repartition(*by)
         own = "__block = __pos div __unit"
-        return lambda added: _block_frames(copied, ["__g", "__block"], added, low, high).where(own)
+        return lambda added: _block_frames(copied, by, added, low, high).where(own)
 
     if not parts:
         return [split(grouped.withColumn("__unit", whole_table_unit(df, skew)))]
@@ -271,24 +284,22 @@ def _partials(added: list[_Added]) -> dict[str, _Part]:
     return {f"__a{i}": p for i, p in enumerate(dict.fromkeys(p for x in added for p in _parts_of(x)))}
 
 
-def _results(
-    added: list[_Added], parts: dict[str, _Part], total: Callable[[str], Column]
-) -> dict[str, Column]:
-    """The ``added`` columns from the totals of their parts."""
+def _results(added: list[_Added], parts: dict[str, _Part], total: Callable[[str], str]) -> dict[str, Column]:
+    """The ``added`` columns from the totals of their parts, which are SQL."""
     names = {p: c for c, p in parts.items()}
 
     def found(x: _Added) -> Column:
         a, *n = (total(names[p]) for p in _parts_of(x))
-        return (F.when(n[0] > 0, a / n[0]) if n else a).cast(x.kind)
+        return F.expr(f"CASE WHEN {n[0]} > 0 THEN {a} / {n[0]} END" if n else a).cast(x.kind)
 
     return {x.alias: found(x) for x in added}
 
 
-def _merged(how: str, a: Column, b: Column) -> Column:
+def _merged(how: str, a: str, b: str) -> str:
     """The aggregate of two parts of a frame, either of which may have none."""
     if how in ("min", "max"):
-        return (F.least if how == "min" else F.greatest)(a, b)
-    return F.coalesce(a + b, a, b)
+        return f"{'least' if how == 'min' else 'greatest'}({a}, {b})"
+    return f"coalesce({a} + {b}, {a}, {b})"
 
 
 def _block_frames(
@@ -296,48 +307,41 @@ def _block_frames(
 ) -> DataFrame:
     """Frames of many rows with as much work per row as frames of a few.
 
-    ``rows`` has positions without gaps, ``__pos``, within the groups of ``by``. They are
+    ``rows`` has positions without gaps, ``__pos``, within the groups of ``by``, the last of
+    them as ``__last``, and has been shuffled by ``by``, which all windows here use. They are
     cut into blocks as long as a frame, so a frame is the end of one block and the
     beginning of the next; both come from running aggregates of the blocks, forwards
-    and backwards, of the rows at the frame's ends. All is done in one shuffle, by ``by``.
+    and backwards, of the rows at the frame's ends. It takes two sorts: blocks are numbered
+    downwards, so that rows sorted backwards within their blocks are so in the whole group.
     """
     width = high - low + 1
     parts = _partials(added)
     group = Window.partitionBy(*map(column, by))
-    # First a window over the whole group: its shuffle serves those over blocks too.
-    rows = rows.withColumn("__last", F.max("__pos").over(group))
-    rows = rows.withColumn("__part", F.expr(f"__pos div {width}L"))
     block = Window.partitionBy(*map(column, by), "__part")
     running = (Window.unboundedPreceding, Window.currentRow)
+    down = F.col("__pos").desc()
+    rows = rows.withColumn("__part", F.expr(f"-(__pos div {width}L)"))
     forwards = block.orderBy("__pos").rowsBetween(*running)
-    backwards = block.orderBy(F.col("__pos").desc()).rowsBetween(*running)
+    backwards = block.orderBy(down).rowsBetween(*running)
     rows = rows.withColumns({f"__to{c}": p.result().over(forwards) for c, p in parts.items()})
     rows = rows.withColumns({f"__from{c}": p.result().over(backwards) for c, p in parts.items()})
 
-    order = group.orderBy("__pos")
-    everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    order = group.orderBy("__part", down)
     found = {}
     for c in parts:
-        found[f"__begin{c}"] = F.lead(f"__from{c}", low).over(order)
-        found[f"__end{c}"] = F.lead(f"__to{c}", high).over(order)
-        found[f"__close{c}"] = F.last(f"__to{c}").over(everything)
-    rows = rows.withColumns(found)
-    a, b = F.expr(f"__pos + {low}L"), F.expr(f"__pos + {high}L")
-    over = b > F.col("__last")
-    one_block = F.expr(f"(__pos + {low}L) div {width}L = least(__pos + {high}L, __last) div {width}L")
-
-    def total(c: str) -> Column:
-        begin = F.col(f"__begin{c}")
-        end = F.when(over, F.col(f"__close{c}")).otherwise(F.col(f"__end{c}"))
-        none = F.lit(0).cast("long") if parts[c].func == "count" else F.lit(None)
-        return (
-            F.when((a > F.col("__last")) | (b < 0), none)
-            .when(a < 0, end)
-            .when(one_block, begin)
-            .otherwise(_merged(parts[c].merge, begin, end))
-        )
+        found[f"__begin{c}"] = F.lag(f"__from{c}", low).over(order)
+        found[f"__end{c}"] = F.lag(f"__to{c}", high).over(order)
+        found[f"__close{c}"] = F.first(f"__to{c}").over(order.rowsBetween(*EVERYTHING))
+    a, b = f"(__pos + {low}L)", f"(__pos + {high}L)"
 
-    return rows.withColumns(_results(added, parts, total))
+    def total(c: str) -> str:
+        begin, end = f"__begin{c}", f"CASE WHEN {b} > __last THEN __close{c} ELSE __end{c} END"
+        return f"""CASE WHEN {a} > __last OR {b} < 0 THEN {"0L" if parts[c].func == "count" else "NULL"}
+            WHEN {a} < 0 THEN {end}
+            WHEN {a} div {width}L = least({b}, __last) div {width}L THEN {begin}
+            ELSE {_merged(parts[c].merge, begin, end)} END"""
+
+    return rows.withColumns(found).withColumns(_results(added, parts, total))
 
 
 def _split_open_frames(placed: DataFrame, added: list[_Added], low: int, high: int) -> DataFrame:
@@ -375,8 +379,10 @@ def _split_open_frames(placed: DataFrame, added: list[_Added], low: int, high: i
         *[aggregate(p.merge, F.col(c)).over(before).alias(f"__far{c}") for c, p in parts.items()],
     )
 
-    def total(c: str) -> Column:
-        return _merged(parts[c].merge, F.col(c), F.col(f"__far{c}").cast(near.schema[c].dataType))
+    kinds = {x.name: x.dataType.simpleString() for x in near.schema}
+
+    def total(c: str) -> str:
+        return _merged(parts[c].merge, c, f"CAST(__far{c} AS {kinds[c]})")
 
     joined = near.join(far, ["__g", "__block"], "left")
     return joined.withColumns(_results(added, parts, total))

@@ -228,6 +228,42 @@ def test_long_frames_shuffle_each_row_a_few_times(spark):
     assert shuffled_rows(spark, out) < 3 * 60_000
 
 
+def steps(df, kind):
+    """How many steps of one kind the plan that ran has, those of subqueries left out."""
+    df.collect()
+    todo, total = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        total += name == kind
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return total
+
+
+@pytest.mark.parametrize("partition", ["k", None])
+def test_long_frames_sort_each_row_a_few_times(spark, partition):
+    """Beside placing the rows, a long frame takes two sorts, three windows and one shuffle."""
+    df = spark.range(0, 60_000, 1, 4).selectExpr("id % 1 AS k", "id * 7919 % 60000 AS t", "id AS v")
+    call = {"func": "max", "col": "v", "alias": "w", "skew": tf.SkewPolicy(small_bytes=0, hot_rows=2000)}
+    short = tf.window(df, partition, "t", rows=(-2, 1), **call)
+    out = tf.window(df, partition, "t", rows=(-3000, 1999), **call)
+    # A short frame takes one of each. Rows with "k" may also go through the plain plan, which has
+    # one more window and sort for a long frame's positions.
+    plain = {"k": {"Sort": 2, "Window": 3, "Exchange": 0}, None: {"Sort": 0, "Window": 0, "Exchange": 0}}[partition]
+    for kind, more in (("Sort", 1), ("Window", 2), ("Exchange", 0)):
+        assert steps(out, kind) - steps(short, kind) <= more + plain[kind]
+    assert shuffled_rows(spark, out) < 3 * 60_000
+    got = {r["t"]: r["w"] for r in out.select("t", "w").collect()}
+    at = {i * 7919 % 60000: i for i in range(60_000)}
+    for t in (0, 1, 1998, 30_000, 59_000, 59_999):
+        assert got[t] == max(at[x] for x in range(max(t - 3000, 0), min(t + 2000, 60_000)))
+
+
 def test_exploded_rows_are_counted(spark, tmp_path):
     """A million rows of one partition that Catalyst takes for a few."""
     spark.range(1000).selectExpr("1 AS k", "id AS t").write.parquet(f"{tmp_path}/t")
